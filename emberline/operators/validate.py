@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import fields as fx
@@ -21,65 +21,54 @@ from emberline.schema import (
 
 @dataclass(frozen=True)
 class Cell:
-    """Names of the columns that hold one raw field: its text, its number, and whether it is anything else."""
+    """SQL text over the columns of one raw field: its text, its number, and whether it holds anything else."""
 
     name: str
     typed: bool
 
     @property
-    def text(self) -> Column:
-        return F.col(f"_t_{self.name}")
+    def text(self) -> str:
+        return f"_t_{self.name}"
 
     @property
-    def number(self) -> Column:
-        return F.col(f"_n_{self.name}") if self.typed else F.lit(None).cast("double")
+    def number(self) -> str:
+        return f"_n_{self.name}" if self.typed else "cast(null AS DOUBLE)"
 
     @property
-    def present(self) -> Column:
-        if not self.typed:
-            return self.text.isNotNull()
-        return self.text.isNotNull() | self.number.isNotNull() | F.col(f"_o_{self.name}")
+    def present(self) -> str:
+        found = f"_t_{self.name} IS NOT NULL"
+        return f"({found} OR _n_{self.name} IS NOT NULL OR _o_{self.name})" if self.typed else f"({found})"
 
     @property
-    def not_text(self) -> Column:
-        return self.present & self.text.isNull()
+    def not_text(self) -> str:
+        return f"({self.present} AND {self.text} IS NULL)"
 
 
-def _typed_cells(df: DataFrame, sources: dict[str, tuple[Column, str]], drop: list[str]) -> DataFrame:
+def _typed_cells(df: DataFrame, sources: dict[str, str]) -> DataFrame:
     """Add text, number and other-kind columns per field; each VARIANT path is read and typed once."""
-    got = df.select(
-        *[c for c in df.columns if c not in drop],
-        *[F.variant_get(row, path, "variant").alias(f"_v_{n}") for n, (row, path) in sources.items()],
-    )
-    kinds = got.select("*", *[F.schema_of_variant(f"_v_{n}").alias(f"_k_{n}") for n in sources])
-    cells: list[Column] = []
+    got = df.selectExpr("*", *[f"{value} AS _v_{n}" for n, value in sources.items()])
+    kinds = got.selectExpr("*", *[f"schema_of_variant(_v_{n}) AS _k_{n}" for n in sources])
+    cells = []
     for n in sources:
-        kind, value = F.col(f"_k_{n}"), F.col(f"_v_{n}")
         cells += [
-            F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).alias(f"_t_{n}"),
-            F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-            .when(
-                kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-                F.try_variant_get(value, "$", "double"),
-            )
-            .alias(f"_n_{n}"),
-            F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False)).alias(f"_o_{n}"),
+            f"CASE WHEN _k_{n} = 'STRING' THEN try_variant_get(_v_{n}, '$', 'string') END AS _t_{n}",
+            f"CASE WHEN _k_{n} = 'BOOLEAN' THEN cast(try_variant_get(_v_{n}, '$', 'boolean') AS DOUBLE) "
+            f"WHEN _k_{n} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith(_k_{n}, 'DECIMAL') "
+            f"THEN try_variant_get(_v_{n}, '$', 'double') END AS _n_{n}",
+            f"coalesce(startswith(_k_{n}, 'OBJECT') OR startswith(_k_{n}, 'ARRAY'), false) AS _o_{n}",
         ]
-    return kinds.select(*[c for c in got.columns if not c.startswith("_v_")], *cells)
+    return kinds.selectExpr(*[f"`{c}`" for c in df.columns], *cells)
 
 
-def _problem(bad: Column, field: str, message: str) -> Column:
-    return F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(message).alias("msg")))
+def _problem(bad: str, field: str, message: str) -> str:
+    return f"CASE WHEN {bad} THEN named_struct('field', '{field}', 'msg', '{message}') END"
 
 
-def variant_extras(row: Column, known: list[str]) -> Column:
-    """Keys outside ``known`` as text: strings as they are, anything else as JSON."""
-    unknown = F.map_filter(row.cast("map<string,variant>"), lambda k, v: ~k.isin(known))
-    as_text = F.transform_values(
-        unknown,
-        lambda k, v: F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string")).otherwise(F.to_json(v)),
-    )
-    return F.coalesce(as_text, F.create_map().cast("map<string,string>"))
+def map_extras(fields: str, known: list[str]) -> str:
+    """Keys of a VARIANT map outside ``known`` as text: strings as they are, anything else as JSON."""
+    unknown = f"map_filter({fields}, (k, v) -> k NOT IN ({fx.quoted(known)}))"
+    as_text = "CASE WHEN schema_of_variant(v) = 'STRING' THEN try_variant_get(v, '$', 'string') ELSE to_json(v) END"
+    return f"coalesce(transform_values({unknown}, (k, v) -> {as_text}), cast(map() AS MAP<STRING, STRING>))"
 
 
 def _validated(cells: DataFrame, typed: bool) -> DataFrame:
@@ -92,90 +81,83 @@ def _validated(cells: DataFrame, typed: bool) -> DataFrame:
     def cell(name: str) -> Cell:
         return Cell(name, typed)
 
-    values: dict[str, Column] = {name: cell(name).text for name in [*REQUIRED_TEXT, *OPTIONAL_TEXT]}
-    values["timestamp"] = F.coalesce(
-        fx.time_from_text(cell("timestamp").text), fx.time_from_number(cell("timestamp").number)
-    )
+    def child_cell(name: str, child: str) -> Cell:
+        return Cell(f"{name}__{child}", True)
+
+    values = {name: cell(name).text for name in [*REQUIRED_TEXT, *OPTIONAL_TEXT]}
+    values["timestamp"] = fx.time_from_text(cell("timestamp").text)
     values["event_type"] = fx.enum_member(cell("event_type").text, EVENT_TYPES)
     values["severity"] = fx.enum_member(cell("severity").text, SEVERITIES)
     for name in IP_FIELDS:
-        text = fx.ip_text(fx.blank_marker_to_null(cell(name).text))
-        values[name] = F.coalesce(text, fx.ipv4_from_number(cell(name).number)) if typed else text
+        values[name] = fx.ip_text(cell(name).text)
     for name in PORT_FIELDS:
-        text = fx.port_from_text(fx.blank_marker_to_null(cell(name).text))
-        values[name] = F.coalesce(text, fx.port_from_number(cell(name).number)) if typed else text
-
-    nested_cells = {
-        f"{name}.{child}": (F.col(f"_nested_{name}"), f"$.{child}")
-        for name in NESTED_FIELDS
-        for child in [*NESTED_TEXT[name], *NESTED_NUMBER[name]]
-    }
-    flat = {key: key.replace(".", "__") for key in nested_cells}
-    cells = cells.select(
-        "*", *[F.schema_of_variant(f"_nested_{name}").startswith("OBJECT").alias(f"_isobj_{name}") for name in NESTED_FIELDS]
+        values[name] = fx.port_from_text(cell(name).text)
+    if typed:
+        of_number = {
+            "timestamp": fx.time_from_number,
+            **dict.fromkeys(IP_FIELDS, fx.ipv4_from_number),
+            **dict.fromkeys(PORT_FIELDS, fx.port_from_number),
+        }
+        for name, convert in of_number.items():
+            values[name] = f"coalesce({values[name]}, {convert(cell(name).number)})"
+
+    children = {name: [*NESTED_TEXT[name], *NESTED_NUMBER[name]] for name in NESTED_FIELDS}
+    replaced = {f"_t_{name}": fx.blank_marker_to_null(f"_t_{name}") for name in [*IP_FIELDS, *PORT_FIELDS]}
+    cells = cells.selectExpr(
+        *[f"{replaced[c]} AS {c}" if c in replaced else f"`{c}`" for c in cells.columns],
+        # A sub-object is opened once, as a map; anything else than an object gives null here.
+        *[f"try_variant_get(_nested_{name}, '$', 'map<string,variant>') AS _map_{name}" for name in NESTED_FIELDS],
     )
-    extras = {
-        name: variant_extras(
-            F.when(F.col(f"_isobj_{name}"), F.col(f"_nested_{name}")), [*NESTED_TEXT[name], *NESTED_NUMBER[name]]
-        )
-        for name in NESTED_FIELDS
-    }
-    cells = cells.select("*", *[column.alias(f"_extras_{name}") for name, column in extras.items()])
-    cells = _typed_cells(cells, {flat[k]: where for k, where in nested_cells.items()}, [])
+    cells = cells.selectExpr(
+        "*", *[f"{map_extras(f'_map_{name}', children[name])} AS _extras_{name}" for name in NESTED_FIELDS]
+    )
+    sources = {f"{name}__{child}": f"_map_{name}['{child}']" for name in NESTED_FIELDS for child in children[name]}
+    cells = _typed_cells(cells, sources)
     for name in NESTED_FIELDS:
         for child in NESTED_NUMBER[name]:
-            c = Cell(flat[f"{name}.{child}"], True)
-            values[c.name] = F.coalesce(c.number, fx.strip(c.text).try_cast("double"))
+            c = child_cell(name, child)
+            values[c.name] = f"coalesce({c.number}, try_cast({fx.strip(c.text)} AS DOUBLE))"
 
-    staged = cells.select("*", *[column.alias(f"_x_{name}") for name, column in values.items()])
+    staged = cells.selectExpr("*", *[f"{sql} AS _x_{name}" for name, sql in values.items()])
 
-    problems: list[Column] = []
+    problems: list[str] = []
     for name in REQUIRED_TEXT:
-        problems.append(_problem(~cell(name).present, name, "field required"))
+        problems.append(_problem(f"NOT {cell(name).present}", name, "field required"))
         if typed:
             problems.append(_problem(cell(name).not_text, name, "not a string"))
-    problems.append(_problem(F.length(cell("description").text) < 1, "description", "empty"))
+    problems.append(_problem("length(_t_description) < 1", "description", "empty"))
     for name, message in (("timestamp", "not a time"), ("event_type", "not a known value")):
-        problems.append(_problem(~cell(name).present, name, "field required"))
-        problems.append(_problem(cell(name).present & F.col(f"_x_{name}").isNull(), name, message))
-    problems.append(
-        _problem(cell("severity").present & F.col("_x_severity").isNull(), "severity", "not a known value")
-    )
+        problems.append(_problem(f"NOT {cell(name).present}", name, "field required"))
+        problems.append(_problem(f"{cell(name).present} AND _x_{name} IS NULL", name, message))
+    problems.append(_problem(f"{cell('severity').present} AND _x_severity IS NULL", "severity", "not a known value"))
     for name in NESTED_FIELDS:
-        given = F.col(f"_nested_{name}").isNotNull()
-        problems.append(_problem(given & ~F.col(f"_isobj_{name}"), name, "not an object"))
+        problems.append(_problem(f"_nested_{name} IS NOT NULL AND _map_{name} IS NULL", name, "not an object"))
         for child in NESTED_TEXT[name]:
-            problems.append(_problem(Cell(flat[f"{name}.{child}"], True).not_text, f"{name}.{child}", "not a string"))
+            problems.append(_problem(child_cell(name, child).not_text, f"{name}.{child}", "not a string"))
         for child in NESTED_NUMBER[name]:
-            c = Cell(flat[f"{name}.{child}"], True)
-            problems.append(
-                _problem(c.present & F.col(f"_x_{c.name}").isNull(), f"{name}.{child}", "not a number")
-            )
+            c = child_cell(name, child)
+            problems.append(_problem(f"{c.present} AND _x_{c.name} IS NULL", f"{name}.{child}", "not a number"))
     if typed:
         problems += [_problem(cell(name).not_text, name, "not a string") for name in OPTIONAL_TEXT]
     for name in [*IP_FIELDS, *PORT_FIELDS]:
-        given = fx.blank_marker_to_null(cell(name).text).isNotNull()
-        if typed:
-            given = given | cell(name).not_text
         message = "not an address" if name in IP_FIELDS else "not a port"
-        problems.append(_problem(given & F.col(f"_x_{name}").isNull(), name, message))
-
-    def nested_struct(name: str) -> Column:
-        texts = [Cell(flat[f"{name}.{child}"], True).text.alias(child) for child in NESTED_TEXT[name]]
-        numbers = [F.col(f"_x_{flat[f'{name}.{child}']}").alias(child) for child in NESTED_NUMBER[name]]
-        return F.struct(*texts, *numbers, F.col(f"_extras_{name}").alias("extras")).alias(name)
+        problems.append(_problem(f"{cell(name).present} AND _x_{name} IS NULL", name, message))
 
-    def value(name: str) -> Column:
-        return F.col(f"_x_{name}").alias(name)
+    def nested_struct(name: str) -> str:
+        texts = [f"'{child}', {child_cell(name, child).text}" for child in NESTED_TEXT[name]]
+        numbers = [f"'{child}', _x_{name}__{child}" for child in NESTED_NUMBER[name]]
+        return f"named_struct({', '.join([*texts, *numbers])}, 'extras', _extras_{name}) AS {name}"
 
-    return staged.select(
-        *[F.col(c) for c in POSITION if c in staged.columns],
-        *[value(name) for name in [*REQUIRED_TEXT, "timestamp", "event_type", "severity"]],
+    return staged.selectExpr(
+        *[c for c in POSITION if c in staged.columns],
+        *[f"_x_{name} AS `{name}`" for name in [*REQUIRED_TEXT, "timestamp", "event_type", "severity"]],
         *[nested_struct(name) for name in NESTED_FIELDS],
-        *[value(name) for name in [*OPTIONAL_TEXT, *IP_FIELDS, *PORT_FIELDS]],
-        F.col("_extras").alias("extras"),
-        F.array_compact(F.array(*problems)).alias("errors"),
-        F.left("_preview", F.lit(PREVIEW_CHARS)).alias("raw_preview"),
+        *[f"_x_{name} AS `{name}`" for name in [*OPTIONAL_TEXT, *IP_FIELDS, *PORT_FIELDS]],
+        "_extras AS extras",
+        # The partition id is never negative. Naming it keeps a filter on ``errors`` above this projection:
+        # pushed below, the whole check list would be inlined and every cell computed several times per row.
+        f"CASE WHEN spark_partition_id() >= 0 THEN array_compact(array({', '.join(problems)})) END AS errors",
+        f"left(_preview, {PREVIEW_CHARS}) AS raw_preview",
     )
 
 
@@ -187,41 +169,38 @@ def validate_text(df: DataFrame) -> DataFrame:
     """Validate rows whose fields are string columns (CSV); empty cells are absent, unknown columns extras."""
     given = [c for c in df.columns if c not in POSITION]
 
-    def raw(name: str) -> Column:
-        return F.nullif(F.col(f"`{name}`"), F.lit("")) if name in given else F.lit(None).cast("string")
+    def raw(name: str) -> str:
+        return f"nullif(`{name}`, '')" if name in given else "cast(null AS STRING)"
 
-    def nested(name: str) -> Column:
+    def nested(name: str) -> str:
         text = fx.strip(raw(name))
-        decoded = F.when(text.startswith("{"), F.try_parse_json(text))
-        return F.coalesce(decoded, raw(name).cast("variant"))
+        return f"coalesce(CASE WHEN startswith({text}, '{{') THEN try_parse_json({text}) END, cast({raw(name)} AS VARIANT))"
 
-    unknown = [c for c in given if c not in KNOWN_FIELDS]
-    pairs = [F.struct(F.lit(c).alias("key"), raw(c).alias("value")) for c in unknown]
-    extras = F.create_map().cast("map<string,string>")
+    pairs = [f"named_struct('key', '{c}', 'value', {raw(c)})" for c in given if c not in KNOWN_FIELDS]
+    extras = "cast(map() AS MAP<STRING, STRING>)"
     if pairs:
-        extras = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()))
-    cells = df.select(
+        extras = f"map_from_entries(filter(array({', '.join(pairs)}), e -> e.value IS NOT NULL))"
+    cells = df.selectExpr(
         *[c for c in POSITION if c in df.columns],
-        *[raw(name).alias(f"_t_{name}") for name in _SCALARS],
-        *[nested(name).alias(f"_nested_{name}") for name in NESTED_FIELDS],
-        extras.alias("_extras"),
-        F.to_json(F.struct(*[raw(c).alias(c) for c in given])).alias("_preview"),
+        *[f"{raw(name)} AS `_t_{name}`" for name in _SCALARS],
+        *[f"{nested(name)} AS _nested_{name}" for name in NESTED_FIELDS],
+        f"{extras} AS _extras",
+        f"to_json(struct({', '.join(f'{raw(c)} AS `{c}`' for c in given)})) AS _preview",
     )
     return _validated(cells, typed=False)
 
 
 def validate_variant(df: DataFrame, column: str = "row") -> DataFrame:
     """Validate rows held as one VARIANT object per row (JSON, JSON lines)."""
-    row = F.col(column)
-    with_parts = df.select(
+    whole = f"try_variant_get({column}, '$', 'map<string,variant>')"
+    with_parts = df.selectExpr(
         *[c for c in POSITION if c in df.columns],
-        row.alias("_row"),
-        *[F.variant_get(row, f"$.{name}", "variant").alias(f"_nested_{name}") for name in NESTED_FIELDS],
-        variant_extras(row, KNOWN_FIELDS).alias("_extras"),
-        F.to_json(row).alias("_preview"),
+        f"{column} AS _row",
+        *[f"variant_get({column}, '$.{name}', 'variant') AS _nested_{name}" for name in NESTED_FIELDS],
+        f"{map_extras(whole, KNOWN_FIELDS)} AS _extras",
+        f"to_json({column}) AS _preview",
     )
-    sources = {name: (F.col("_row"), f"$.{name}") for name in _SCALARS}
-    return _validated(_typed_cells(with_parts, sources, ["_row"]), typed=True)
+    return _validated(_typed_cells(with_parts, {name: f"variant_get(_row, '$.{name}', 'variant')" for name in _SCALARS}), typed=True)
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:
@@ -257,7 +236,7 @@ def require_valid(validated: DataFrame) -> DataFrame:
 
 def split_by_text_limit(df: DataFrame, column: str, limit: int, mode: str = "quarantine") -> DataFrame:
     """Guard scorer input: cut over-long texts, or flag them for a quarantine table."""
-    over = fx.over_text_limit(F.col(column), limit)
+    over = F.length(column) > limit
     if mode == "truncate":
         return df.withColumn(column, F.left(F.col(column), F.lit(limit))).withColumn("over_limit", over)
     if mode != "quarantine":
