@@ -47,7 +47,7 @@ def blank_marker_to_null(c: str) -> str:
 
 
 def ipv4_from_number(c: str) -> str:
-    octets = ", ".join(f"(cast({c} AS BIGINT) >> {shift}) & 255" for shift in (24, 16, 8, 0))
+    octets = ", ".join(f"shiftright(cast({c} AS BIGINT), {shift}) & 255" for shift in (24, 16, 8, 0))
     whole = f"{c} >= 0 AND {c} < 4294967296 AND {c} = floor({c})"
     return f"CASE WHEN {whole} THEN concat_ws('.', {octets}) END"
 

@@ -99,7 +99,7 @@ def _validated(cells: DataFrame, typed: bool) -> DataFrame:
             **dict.fromkeys(PORT_FIELDS, fx.port_from_number),
         }
         for name, convert in of_number.items():
-            values[name] = f"coalesce({values[name]}, {convert(cell(name).number)})"
+            values[name] = f"coalesce(({values[name]}), ({convert(cell(name).number)}))"
 
     children = {name: [*NESTED_TEXT[name], *NESTED_NUMBER[name]] for name in NESTED_FIELDS}
     replaced = {f"_t_{name}": fx.blank_marker_to_null(f"_t_{name}") for name in [*IP_FIELDS, *PORT_FIELDS]}
