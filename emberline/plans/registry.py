@@ -20,10 +20,10 @@ def _in_utc(query: Query) -> Query:
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    from emberline.plans import queries_profile, queries_rows
+    from emberline.plans import queries_profile, queries_rows, queries_text
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (queries_rows, queries_profile):
+    for module in (queries_rows, queries_profile, queries_text):
         for name, (query, sql) in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"query {name} registered twice")
