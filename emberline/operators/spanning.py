@@ -42,7 +42,10 @@ class Groups:
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Kruskal over the last edges: tree edges, and the root of every node still named by an edge."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["w", "a", "b"])
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True).sort_values(["w", "a", "b"])
     groups, kept = Groups(), []
     for u, v, w, a, b in rows[["u", "v", "w", "a", "b"]].itertuples(index=False):
         if groups.join(u, v):

@@ -21,7 +21,7 @@ from emberline.plans.sqlviews import CLASS_NAMES, MEMBERS, MEMBERSHIP, PROFILE
 from emberline.schema import MIN_CLUSTER_SIZE, MIN_SAMPLES
 from emberline.session import cut_lineage
 
-EPS = 0.9
+EPS = 1.15
 PAIRS = """
 unit AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) for x in e] AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
@@ -153,7 +153,7 @@ def cluster_attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     profiles = pf.keep_clusters(profiles_with_samples(spark, sf))
-    lists = rt.chunk_lists(rt.retrieve(query_rows(spark, sf), embedded_chunks(spark, sf)))
+    lists = rt.chunk_lists(rt.retrieve(query_rows(spark, sf, profiles), embedded_chunks(spark, sf)))
     with_chunks = profiles.join(lists.withColumnRenamed("qid", "cluster_id"), "cluster_id", "left")
     return rc.with_recommendations(with_chunks, cluster_attempts(spark, sf))
 
@@ -162,7 +162,7 @@ def plain_incidents(spark: SparkSession, sf: str) -> DataFrame:
     """Incidents from stored attempts without retrieval."""
     empty = F.expr("cast(array() AS ARRAY<STRUCT<source_file: STRING, section: STRING, content: STRING, score: DOUBLE>>)")
     profiles = pf.keep_clusters(profiles_with_samples(spark, sf)).withColumn("playbook_chunks", empty)
-    return rc.with_recommendations(profiles, cluster_attempts(spark, sf))
+    return cut_lineage(rc.with_recommendations(profiles, cluster_attempts(spark, sf)), "incidents")
 
 
 def incident_assembly(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,8 +193,9 @@ def skipped_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    lists = rt.chunk_lists(rt.retrieve(query_rows(spark, sf), embedded_chunks(spark, sf)))
-    rows = profiles_with_samples(spark, sf).join(lists.withColumnRenamed("qid", "cluster_id"), "cluster_id", "left")
+    profiles = profiles_with_samples(spark, sf)
+    lists = rt.chunk_lists(rt.retrieve(query_rows(spark, sf, profiles), embedded_chunks(spark, sf)))
+    rows = profiles.join(lists.withColumnRenamed("qid", "cluster_id"), "cluster_id", "left")
     return rows.select("cluster_id", rc.incident_prompt().alias("prompt"))
 
 
@@ -228,9 +229,14 @@ def json_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """All valid rows through hash embedding of their text, clustering, classing and the skip path."""
+    """All valid rows through stored vectors of their texts, clustering, classing and the skip path.
+
+    The stored vectors lean toward the mean of their label, so that there are dense groups to find.
+    """
     rows = v.logs(spark, sf)
-    stored = v.vectors(spark, sf).select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
+    raw = v.vectors(spark, sf)
+    lean = F.zip_with("vec", "centroid", lambda x, m: x.cast("double") + 8.0 * m)
+    stored = raw.join(pf.centroids(raw, 64, by="label"), "label").select("vec_id", lean.alias("vec"))
     keys = cut_lineage(
         v.membership(spark, sf).select("log_idx", "vec_id").join(rows.select("log_idx", "description"), "log_idx")
         .withColumn("cache_key", tx.cache_key(F.col("description"))).join(stored, "vec_id")

@@ -12,6 +12,7 @@ from emberline.plans import views as v
 from emberline.plans.sqlviews import (
     CENTROIDS, CLASS_NAMES, DOMINANT, MEMBERS, MEMBERSHIP, PROFILE, REPRESENTATIVES, SCORED, rank_of,
 )
+from emberline.session import cut_lineage, with_ordinal
 
 DIMS = 64
 
@@ -109,7 +110,7 @@ def severity_ordering(spark: SparkSession, sf: str) -> DataFrame:
 
 def incident_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles of the kept clusters in report order."""
-    kept = pf.keep_clusters(v.members(spark, sf))
+    kept = cut_lineage(pf.keep_clusters(v.members(spark, sf)), "members")
     rows = pf.incident_profiles(kept)
     order = {p: i for i, p in enumerate(("critical", "high", "medium", "low", "informational"))}
     rank = F.create_map(*[x for p, i in order.items() for x in (F.lit(p), F.lit(i))])[F.col("priority")]
@@ -134,8 +135,6 @@ def technique_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def range_ordinals(spark: SparkSession, sf: str) -> DataFrame:
-    from emberline.session import with_ordinal
-
     numbered = with_ordinal(v.table(spark, sf, "documents").select("doc_id", "text"), [F.col("doc_id")])
     return sc.batch_numbers(numbered, "ordinal", 64).groupBy("batch_no").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from emberline.functions import fields as fx
 from emberline.operators import validate as val
+from emberline.operators.profile import keep_clusters, out_of_range
 from emberline.plans import views as v
 from emberline.plans.sqlviews import CHECKED, LOGS, MARKERS, MEMBERSHIP, RAW, V4
-from emberline.schema import EVENT_TYPES, SEVERITIES, TEXT_LIMIT
+from emberline.schema import EVENT_TYPES, SEVERITIES, STORED_REJECTS, TEXT_LIMIT
+from emberline.session import with_ordinal
 
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,14 +115,10 @@ def text_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
-    from emberline.operators.profile import keep_clusters
-
     return keep_clusters(v.membership(spark, sf)).select("log_idx", "cluster_id")
 
 
 def score_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    from emberline.operators.profile import out_of_range
-
     labels, events = v.table(spark, sf, "labels"), v.table(spark, sf, "events")
     first = out_of_range(labels, ["quality", "toxic"], [])
     return first.unionByName(out_of_range(events, ["value"], ["user_id"]))
@@ -134,9 +132,6 @@ def ip_serialise(spark: SparkSession, sf: str) -> DataFrame:
 
 def reject_rows(spark: SparkSession, sf: str) -> DataFrame:
     """First stored rejects by row number, with their preview length."""
-    from emberline.schema import STORED_REJECTS
-    from emberline.session import with_ordinal
-
     numbered = with_ordinal(v.raw_logs(spark, sf), [F.col("log_idx")], "_at")
     rows = numbered.withColumn("row_no", F.col("_at") + 1).drop("_at")
     rejects = val.rejected_rows(val.validate_text(rows))

@@ -15,6 +15,7 @@ from emberline.plans import views as v
 from emberline.plans.sqlviews import (
     CENTROIDS, CLASS_NAMES, DOMINANT, LOGS, MEMBERS, PROFILE, REPRESENTATIVES, SCORED, rank_of,
 )
+from emberline.session import cut_lineage
 
 LEX_DIMS = 256
 DIMS = 64
@@ -99,20 +100,24 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_table(spark, sf).withColumn("vec", sc.lexical_embedding(F.col("content"), LEX_DIMS))
+    """The chunk index as a stored table."""
+    vec = sc.lexical_embedding(F.col("content"), LEX_DIMS)
+    return cut_lineage(chunk_table(spark, sf).withColumn("vec", vec), "index")
 
 
 def profiles_with_samples(spark: SparkSession, sf: str) -> DataFrame:
-    members = v.members(spark, sf)
+    """Profiles as a stored table; the validated rows are stored first, since several branches read them."""
+    members = cut_lineage(v.members(spark, sf), "members")
     rows = members.join(v.vectors(spark, sf).select("vec_id", "vec"), "vec_id")
     best = pf.representative_lists(pf.representative_rows(rows, pf.centroids(rows, DIMS)), members)
     scored = sc.hash_classify(members.select("log_idx", "cluster_id", "description"), "description", CLASS_NAMES)
     classes = pf.class_lists(pf.dominant_classes(scored))
-    return pf.incident_profiles(members).join(best, "cluster_id").join(classes, "cluster_id", "left")
+    whole = pf.incident_profiles(members).join(best, "cluster_id").join(classes, "cluster_id", "left")
+    return cut_lineage(whole, "profiles")
 
 
-def query_rows(spark: SparkSession, sf: str) -> DataFrame:
-    asked = rt.incident_queries(profiles_with_samples(spark, sf))
+def query_rows(spark: SparkSession, sf: str, profiles: DataFrame | None = None) -> DataFrame:
+    asked = rt.incident_queries(profiles_with_samples(spark, sf) if profiles is None else profiles)
     vec = sc.lexical_embedding(F.col("query"), LEX_DIMS)
     return asked.select(F.col("cluster_id").alias("id"), "query", "hints", vec.alias("vec"))
 
