@@ -7,13 +7,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _in_utc(query: Query) -> Query:
+def _prepared(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return query(spark, sf_dir)
 
     return run
@@ -27,5 +30,5 @@ def catalogue() -> dict[str, tuple[Query, str | None]]:
         for name, (query, sql) in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"query {name} registered twice")
-            found[name] = (_in_utc(query), sql)
+            found[name] = (_prepared(query), sql)
     return found
