@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],

@@ -233,7 +233,7 @@ def full_analysis(spark: SparkSession, sf: str) -> DataFrame:
 
     The stored vectors lean toward the mean of their label, so that there are dense groups to find.
     """
-    rows = v.logs(spark, sf)
+    rows = cut_lineage(v.logs(spark, sf), "logs")
     raw = v.vectors(spark, sf)
     lean = F.zip_with("vec", "centroid", lambda x, m: x.cast("double") + 8.0 * m)
     stored = raw.join(pf.centroids(raw, 64, by="label"), "label").select("vec_id", lean.alias("vec"))
