@@ -135,7 +135,7 @@ def scenario(spark):
     logs = spark.createDataFrame(
         rows, "log_idx bigint, event_id string, event_type string, severity string, description string, src_ip string, user string"
     ).selectExpr("*", "timestamp_seconds(1700000000 + log_idx * 10) AS timestamp", "cast(null AS STRING) AS dst_ip", "'x' AS action")
-    stored = spark.createDataFrame([(rows[i][4], [float(v) for v in x]) for i, x in vecs.items()], "text string, vec array<double>")
+    stored = spark.createDataFrame([(rows[i][4], [float(v) for v in x / np.linalg.norm(x)]) for i, x in vecs.items()], "text string, vec array<double>")
     return logs, lambda texts: texts.join(stored, "text").select("cache_key", "vec")
 
 
