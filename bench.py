@@ -17,7 +17,7 @@ from emberline.plans.registry import catalogue  # noqa: E402
 HEADLINE = [
     "a6_load_stats", "d13_load_stats_json", "c1_membership_join", "d4_dominant_event_type", "d6_distinct_actors", "d7_centroid",
     "e1_representatives", "e2_top_classes", "p3_incident_profiles", "h4_chunks", "c3_cache_lookup", "c4_scatter_back",
-    "c7_nearest_chunks", "e4_boosted_ranking", "k1_core_distance", "k7_density_labels", "h23_parse_responses",
+    "c7_nearest_chunks", "k1_core_distance", "k7_density_labels", "h23_parse_responses",
     "a11_markdown_report", "p1_full_analysis",
 ]
 
