@@ -5,15 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import block_names, minhash_forest
+from emberline.llm import block_names, minhash_forest, mixing, packing, toxicity
 from emberline.llm.common import table
 from emberline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,9 +41,66 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), F.expr("all_tokens div 2"))
+
+
+def _mixing_sql() -> str:
+    """Water filling level by level, as in the operator, and one running sum per leaf instead of buckets."""
+    weights = {
+        "domain": "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END",
+        "lang": "CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 ELSE 1 END",
+        "source": "1",
+    }
+    sql = """
+WITH d AS (
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+    CASE WHEN regexp_extract(source, '([0-9]+)', 1) <> '' THEN 'domain' || (CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 4)
+      ELSE 'other' END AS domain
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, 4 * sum(n_tokens) AS capacity FROM d GROUP BY ALL),
+b0 AS (SELECT CAST(least(sum(tokens) // 2, sum(capacity)) AS HUGEINT) AS budget FROM leaf)"""
+    parents: list[str] = []
+    for k, level in enumerate(mixing.LEVELS):
+        keys = ", ".join([*parents, level])
+        by = f"PARTITION BY {', '.join(parents)} " if parents else ""
+        same = " AND ".join(f"n.{p} IS NOT DISTINCT FROM b.{p}" for p in parents) or "true"
+        sql += f""",
+n{k} AS (SELECT {keys}, sum(capacity) AS capacity, CAST({weights[level]} AS HUGEINT) AS w FROM leaf GROUP BY {keys}),
+f{k} AS (
+  SELECT n.*, b.budget, capacity * sum(w) OVER ({by}ORDER BY capacity / w, {level} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (b.budget - coalesce(sum(capacity) OVER ({by}ORDER BY capacity / w, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS filled
+  FROM (SELECT {', '.join('n.' + x for x in [*parents, level])}, n.capacity, n.w, b.budget FROM n{k} n JOIN b{k} b ON {same}) n, LATERAL (SELECT n.budget) b),
+r{k} AS (
+  SELECT *, budget - coalesce(sum(capacity) FILTER (WHERE filled) OVER ({by[:-1]}), 0) AS rest,
+    sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({by[:-1]}) AS open_w,
+    sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({by}ORDER BY capacity / w, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM (SELECT {keys}, capacity, w, budget, filled FROM f{k})),
+b{k + 1} AS (
+  SELECT {keys}, CASE WHEN filled THEN capacity ELSE rest * upto // greatest(open_w, 1) - rest * (upto - w) // greatest(open_w, 1) END AS budget FROM r{k})"""
+        parents.append(level)
+    return sql + """,
+plan AS (
+  SELECT l.domain, l.lang, l.source, l.tokens, b.budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole,
+    CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS part
+  FROM leaf l JOIN b3 b ON l.domain = b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source),
+placed AS (
+  SELECT d.*, p.whole, p.part, p.budget, p.tokens,
+    CAST('0x' || substr(md5('17:' || p.whole || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+  FROM d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(budget AS BIGINT) AS budget, CAST(tokens AS BIGINT) AS leaf_tokens,
+  CAST(whole + CASE WHEN part > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= part THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM placed
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_toxicity": (op1_toxicity, None),
+    "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3),
     "op7_minhash_near_dedup": (op7_minhash_near_dedup, None),
+    "op9_mixing": (op9_mixing, _mixing_sql()),
 }
 
 
