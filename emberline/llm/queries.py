@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import block_names, chat_windows, hamming_search, minhash_forest, mixing, packing, secrets, toxicity
+from emberline.llm import block_names, chat_windows, hamming_search, licences, minhash_forest, mixing, packing, passages, secrets, toxicity
 from emberline.llm.common import table
 from emberline.session import ship_package
 
@@ -54,6 +54,14 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_families(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -132,6 +140,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3),
     "op4_hamming_top_k": (op4_hamming_top_k, OP4),
+    "op5_passage_dedup": (op5_passage_dedup, None),
+    "op6_licence_scan": (op6_licence_scan, None),
     "op7_minhash_near_dedup": (op7_minhash_near_dedup, None),
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_mixing": (op9_mixing, _mixing_sql()),
