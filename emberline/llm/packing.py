@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from emberline.llm.common import row_numbers, small_batches, stored
 
 SEQUENCE = 4096
 END_ID = 1
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 20
 
 
 class OpenBins:
@@ -86,32 +88,80 @@ def best_fit_plan(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tupl
     return plan
 
 
-def _load_tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordIds:
     """Token ids of a text, by encoding each distinct run between spaces and line feeds once.
 
-    Holds for tokenizers that split at white space and drop it, and only for those.
+    Holds for tokenizers of the CLIP kind, and only for those: they drop white space, lower-case A-Z, split letters
+    from other signs, and end each word in a token of its own kind. Texts that could hold a special token's string
+    are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.memo = _load_tokenizer(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        #: For ASCII letters, which normalising and splitting leave as they are.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {}
+        self.signs = {c: self._ids(self.tokenizer, [c])[0] for c in ".,"}
+
+    @staticmethod
+    def _ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, tokenizer: Tokenizer, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded in one go and parted at word ends."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter that falls apart when it is normalised
+            return self._ids(self.tokenizer, words)
+        data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[s:e] for s, e in zip(cuts, cuts[1:])]
+
+    def _learn(self, runs: list[str]) -> None:
+        plain, other, rest = {}, {}, []
+        for run in runs:
+            core = run[:-1] if run[-1:] in self.signs else run
+            if core.isalpha():
+                (plain if core.isascii() else other)[core] = b""
+            else:
+                rest.append(run)
+        for tokenizer, words in ((self.letters, plain), (self.tokenizer, other)):
+            if words:
+                words.update(zip(list(words), self._words(tokenizer, list(words))))
+        memo = self.memo
+        for run in runs:
+            core = run[:-1] if run[-1:] in self.signs else run
+            known = plain.get(core) or other.get(core)
+            if known:
+                memo[run] = known if core is run else known + self.signs[run[-1]]
+        memo.update(zip(rest, self._ids(self.tokenizer, rest)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, with the end id last."""
-        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        runs = [[] if t is None or "<|" in t else t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list({w for r in runs for w in r if w not in memo})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*runs).difference(memo)
+        if new:
+            self._learn(list(new))
         end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([memo[w] for w in r]) + end for r in runs]
+        whole = {k: t for k, t in enumerate(texts) if t is not None and "<|" in t}
+        own = dict(zip(whole, self._ids(self.tokenizer, list(whole.values()))))
+        return [own.get(k) + end if k in own else b"".join([memo[w] for w in r]) + end for k, r in enumerate(runs)]
+
+
+#: One per tokenizer in each Python worker, kept from task to task.
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
 
 
 _PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, slot bigint"
@@ -120,7 +170,7 @@ _PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32
 def _piecer(path: str, sequence: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces of every document; slot counts the pieces of the same length in this task."""
-        ids, seen = WordIds(path), {}
+        ids, seen = word_ids(path), {}
         part = int(row_numbers(0, 1)[0] >> 40)
         for batch in small_batches(batches, 256):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "slot")}
