@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from emberline.llm.common import small_batches
 
 SLOTS = 1 << 18
-#: Labelled documents used for fitting, at most this many of each label, chosen by a hash of the text.
-FIT_DOCS = 2500
-STEPS, RATE, SHRINK = 150, 0.15, 0.02
+#: Labelled documents used for fitting, at most this many, chosen by a hash of the text, so that labels keep their shares.
+FIT_DOCS = 6000
+STEPS, RATE, SHRINK, STEADY = 150, 0.1, 0.08, 0.05
 LEAK = 0.02  # noisy-or leak: a toxic label that no sentence explains; used in fitting only
-LEAST_DOCS = 4  # fitting documents that must have a feature; a rarer one only learns its documents by heart
+LEAST_USES = 4  # pairs of a word with the feature and a fitting document; a rarer feature only learns documents by heart
 BIAS = -7.0  # of a sentence without known words; noisy-or needs a low one, as long documents have many sentences
 MEMO_WORDS = 1 << 18
 
@@ -55,30 +56,26 @@ def _probability(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Feature weights, with the bias last. The two labels weigh as they occur."""
     number: dict[str, int] = {}
-    word_of, sentence_of, doc_of = [], [], []
+    word_of, sentence_of, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for start, end in sentences(text):
             own = [number.setdefault(w, len(number)) for w in words(text[start:end])]
-            word_of += own
-            sentence_of += [len(doc_of)] * len(own)
+            word_of.extend(own)
+            sentence_of.extend([len(doc_of)] * len(own))
             doc_of.append(d)
     weights = np.zeros(SLOTS + 1)
     weights[-1] = BIAS
     if not number:
         return weights
-    word_of, sentence_of, doc_of = np.array(word_of), np.array(sentence_of), np.array(doc_of)
-    features = [(k, f) for w, k in number.items() for f in slots(w)]
-    owner, feature = np.array(features).T
-    by_doc = np.unique(np.stack([word_of, doc_of[sentence_of]]), axis=1)
-    starts = np.searchsorted(owner, np.arange(len(number) + 1))
-    support = [np.empty(0, np.int64)]
-    for at in range(0, by_doc.shape[1], 1 << 20):
-        w, d = by_doc[:, at : at + (1 << 20)]
-        lengths = starts[w + 1] - starts[w]
-        place = np.repeat(starts[w] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        support.append(np.unique(feature[place] * np.int64(len(texts)) + np.repeat(d, lengths)))
-    docs_with = np.bincount(np.unique(np.concatenate(support)) // len(texts), minlength=SLOTS)
-    keep = docs_with[feature] >= LEAST_DOCS
+    word_of, sentence_of, doc_of = (np.frombuffer(x, np.int32) for x in (word_of, sentence_of, doc_of))
+    owner, feature = array("i"), array("i")
+    for w, k in number.items():
+        own = slots(w)
+        owner.extend([k] * len(own))
+        feature.extend(own)
+    owner, feature = np.frombuffer(owner, np.int32), np.frombuffer(feature, np.int32)
+    in_docs = np.bincount(np.unique(word_of.astype(np.int64) * len(texts) + doc_of[sentence_of]) // len(texts), minlength=len(number))
+    keep = np.bincount(feature, in_docs[owner], SLOTS)[feature] >= LEAST_USES
     owner, (used, feature) = owner[keep], np.unique(feature[keep], return_inverse=True)
     theta, bias, n = np.zeros(len(used)), BIAS, len(labels)
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -94,7 +91,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> np.ndarray:
         grad = np.append(np.bincount(feature, by_word[owner], len(used)), pull.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
-        move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 0.3)
+        move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + STEADY)
         theta = theta - move[:-1]
         theta = np.sign(theta) * np.maximum(np.abs(theta) - RATE * SHRINK, 0)  # L1, as a proximal step
         bias = min(bias - move[-1], BIAS + 1)
@@ -102,8 +99,8 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, use: F.Column, per_label: int = FIT_DOCS) -> np.ndarray:
-    """Weights fitted on at most ``per_label`` documents of each label among the rows where ``use`` holds.
+def train(docs: DataFrame, labels: DataFrame, use: F.Column, most: int = FIT_DOCS) -> np.ndarray:
+    """Weights fitted on at most ``most`` labelled documents among the rows where ``use`` holds.
 
     Rows with a null doc_id, text or label are not used; a doc_id with several labels counts as toxic if any is.
     """
@@ -111,12 +108,12 @@ def train(docs: DataFrame, labels: DataFrame, use: F.Column, per_label: int = FI
     known = known.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bagged = own.filter(use & F.col("text").isNotNull()).join(known, "doc_id")
-    sample = []
-    for label in (0, 1):
-        part = bagged.filter(F.col("toxic") == label).orderBy(F.xxhash64("text"), "doc_id").limit(per_label)
-        sample += [(r["text"], label) for r in part.select("text").toLocalIterator()]
-    weights = fit([t for t, _ in sample], np.array([y for _, y in sample], np.int64))
-    return weights
+    sample = bagged.orderBy(F.xxhash64("text"), "doc_id").limit(most).select("text", "toxic")
+    texts, marks = [], []
+    for r in sample.toLocalIterator():
+        texts.append(r["text"])
+        marks.append(r["toxic"])
+    return fit(texts, np.array(marks, np.int64))
 
 
 def _scorer(weights: np.ndarray):
