@@ -66,7 +66,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         ).select("q", "e.segment", F.explode(F.transform(masks, lambda m: F.col("e.own").bitwiseXOR(m))).alias("value"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         # What lies beyond the covered distance may be incomplete; the next radius meets it again.
-        hits = probes.join(index, ["segment", "value"]).filter(distance <= covered).select("q", "code", distance.alias("distance")).distinct()
+        # The probes are many more than their estimated size says: no broadcast.
+        hits = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= covered).select("q", "code", distance.alias("distance")).distinct()
         met = stored(hits, "met")
         counts = met.join(sizes, "code").groupBy("q").agg(F.sum("n").alias("n"))
         last = radius == WIDTH
