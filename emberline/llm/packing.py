@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame
     plan = docs.sparkSession.createDataFrame(
         best_fit_plan(lengths, sequence) or [(0, 0, 0, 0, 0, 1)], "_length bigint, rank bigint, pieces bigint, sequence bigint, base bigint, each bigint"
     )
-    ranked = cut.join(parts.select("length", "part", "before"), ["length", "part"]).withColumn("_r", F.col("before") + F.col("slot"))
+    ranked = cut.join(parts.select("length", "part", "before").hint("merge"), ["length", "part"]).withColumn("_r", F.col("before") + F.col("slot"))
     # The plan's size is bounded by the sequence length: it is broadcast at any size of the input.
     within = (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("rank")) & (F.col("_r") < F.col("rank") + F.col("pieces"))
     step = F.col("_r") - F.col("rank")
