@@ -71,8 +71,8 @@ def chat_windows(
     """(conv_id, window, formatted, n_repeated, loss) from rows (conv_id, turn, role, text).
 
     ``loss`` has the spans of code points of assistant texts that are targets. A span's new turns start within
-    ``span_tokens`` tokens; a turn longer than that stays whole. History is the turns that end in the last
-    ``history_tokens`` (fewer than ``span_tokens``) tokens before the span. Only a first turn with role 'system' is
+    ``span_tokens`` tokens; a turn longer than that stays whole. History is the turns that start in the
+    last ``history_tokens`` (fewer than ``span_tokens``) tokens before the span, which are no more tokens than that. Only a first turn with role 'system' is
     retained in all windows. Null texts and roles count as empty; rows of a null conv_id are one conversation; null
     turns come first; ties of turn are ordered by role and text; repeated rows stay. An empty table gives no windows.
     """
@@ -95,11 +95,12 @@ def chat_windows(
         inside.join(sums, same).select("conv_id", "role", "text", (F.col("before") + F.col("inside")).alias("start"), "n"), "placed"
     )
     span = F.expr(f"start div {span_tokens}").alias("span")
-    border = F.expr(f"(start div {span_tokens} + 1) * {span_tokens}")
+    # Where the next span starts, if it is the next one; a span has few turns, as each has tokens.
+    border = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("conv_id", F.expr(f"start div {span_tokens}")))
     new = placed.select("conv_id", span, F.lit(False).alias("repeated"), "start", "role", "text")
     system = (F.col("start") == 0) & (F.col("role") == "system")
-    late = (F.col("start") + F.col("n") > border - history_tokens) & (F.col("n") <= history_tokens)
-    history = placed.filter(late & ~system).select("conv_id", (span + 1).alias("span"), F.lit(True).alias("repeated"), "start", "role", "text")
+    late = F.col("start") >= F.col("border") - history_tokens
+    history = placed.withColumn("border", border).filter(late & ~system).select("conv_id", (span + 1).alias("span"), F.lit(True).alias("repeated"), "start", "role", "text")
     # A system turn goes to each later window of its conversation; the windows are far fewer than the turns.
     later = placed.select("conv_id", span).distinct().filter("span > 0")
     kept = placed.filter(system).select(F.col("conv_id").alias("_c"), F.lit(True).alias("repeated"), "start", "role", "text")
