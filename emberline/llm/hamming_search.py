@@ -16,6 +16,8 @@ from emberline.llm.common import stored
 
 BITS, SEGMENTS, K = 64, 4, 10
 WIDTH = BITS // SEGMENTS
+#: Beyond this radius a segment's flips are a fifth of its values; one segment is then searched over all of them.
+FLIPS = 5
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -58,19 +60,20 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     live = stored(asked.select("q").distinct(), "live")
     sizes = stored(members.groupBy("code").agg(F.count("*").alias("n")), "sizes")
     found = []
-    for radius in range(WIDTH + 1):
-        covered = SEGMENTS * (radius + 1) - 1
-        masks = F.array(*[F.lit(m) for r in range(radius + 1) for m in flips(r)])
+    for radius in range(FLIPS + 2):
+        last = radius > FLIPS
+        covered = BITS if last else SEGMENTS * (radius + 1) - 1
+        segments = range(1 if last else SEGMENTS)
+        values = F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)) if last else F.array(*[F.lit(m) for r in range(radius + 1) for m in flips(r)])
         probes = live.select(
-            "q", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("q"), s).alias("own")) for s in range(SEGMENTS)])).alias("e")
-        ).select("q", "e.segment", F.explode(F.transform(masks, lambda m: F.col("e.own").bitwiseXOR(m))).alias("value"))
+            "q", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("q"), s).alias("own")) for s in segments])).alias("e")
+        ).select("q", "e.segment", F.explode(F.transform(values, lambda m: F.col("e.own").bitwiseXOR(m))).alias("value"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         # What lies beyond the covered distance may be incomplete; the next radius meets it again.
         # The probes are many more than their estimated size says: no broadcast.
         hits = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= covered).select("q", "code", distance.alias("distance")).distinct()
         met = stored(hits, "met")
         counts = met.join(sizes, "code").groupBy("q").agg(F.sum("n").alias("n"))
-        last = radius == WIDTH
         ready = stored(live.join(counts, "q", "left").select("q", (F.coalesce("n", F.lit(0)) >= (0 if last else k)).alias("done")), "ready")
         found.append(met.join(ready.filter("done"), "q", "left_semi"))
         live = ready.filter("NOT done").select("q")
