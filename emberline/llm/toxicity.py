@@ -99,21 +99,29 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return weights
 
 
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, marks = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        marks += batch.column(1).to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([fit(texts, np.array(marks, np.int64))], pa.list_(pa.float64()))], names=["weights"])
+
+
 def train(docs: DataFrame, labels: DataFrame, use: F.Column, most: int = FIT_DOCS) -> np.ndarray:
-    """Weights fitted on at most ``most`` labelled documents among the rows where ``use`` holds.
+    """Weights fitted in one task on at most ``most`` labelled documents among the rows where ``use`` holds.
 
-    Rows with a null doc_id, text or label are not used; a doc_id with several labels counts as toxic if any is.
+    Rows with a null doc_id, text or label are not used, and repeated rows count once; a doc_id with several labels
+    counts as toxic if any is.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bagged = own.filter(use & F.col("text").isNotNull()).join(known, "doc_id")
-    sample = bagged.orderBy(F.xxhash64("text"), "doc_id").limit(most).select("text", "toxic")
-    texts, marks = [], []
-    for r in sample.toLocalIterator():
-        texts.append(r["text"])
-        marks.append(r["toxic"])
-    return fit(texts, np.array(marks, np.int64))
+    own = own.filter(use & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).withColumn("place", F.xxhash64("text"))
+    # The choice moves numbers alone; the texts of the chosen are fetched by a broadcast of at most ``most`` rows.
+    chosen = own.select("doc_id", "place").join(known, "doc_id").distinct().orderBy("place", "doc_id").limit(most)
+    texts = own.join(F.broadcast(chosen), ["doc_id", "place"]).groupBy("doc_id", "place", "toxic").agg(F.first("text").alias("text"))
+    fitted = texts.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "toxic").mapInArrow(_fitter, "weights array<double>").collect()
+    return np.array(fitted[0]["weights"]) if fitted else fit([], np.zeros(0, np.int64))
 
 
 def _scorer(weights: np.ndarray):
