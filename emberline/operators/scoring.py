@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from emberline.functions import vectors as vx
 from emberline.functions.text import cache_key
 from emberline.schema import CLASS_TOP_K
+from emberline.session import cut_lineage
 
 
 class Scorer(Protocol):
@@ -189,15 +190,15 @@ def embed_rows(
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Vectors for every row, the fresh (cache_key, vec) rows to append to the cache, and cache stats.
 
-    Distinct texts are scored once; row identity is carried by the rows themselves, so nothing depends on order.
+    Distinct texts are scored once and stored, as two tables read them; row identity is carried by the rows themselves, so nothing depends on order.
     """
     keyed = rows.withColumn("cache_key", cache_key(F.col(text), pooling, normalise, model_id))
     wanted = score_distinct(keyed, text, F.col("cache_key"))
     if cache is None:
-        fresh = embed(wanted)
+        fresh = cut_lineage(embed(wanted), "fresh")
         return keyed.join(fresh, "cache_key"), fresh, None
     _, missing = cache_split(wanted, cache)
-    fresh = embed(missing)
+    fresh = cut_lineage(embed(missing), "fresh")
     vectors = cache.select("cache_key", "vec").unionByName(fresh)
     return keyed.join(vectors, "cache_key"), fresh, cache_stats(keyed, cache)
 

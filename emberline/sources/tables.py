@@ -13,24 +13,33 @@ def read_playbooks(spark: SparkSession, folder: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("content"))
 
 
-def latest_index(spark: SparkSession, root: str) -> DataFrame | None:
-    """Newest version of the chunk index, or null when none was written."""
+def _versions(root: str) -> str:
+    """The folder beside the index with one row for each complete version, so that an empty version counts too."""
+    return f"{root.rstrip('/')}-versions"
+
+
+def _newest(spark: SparkSession, root: str) -> int | None:
     try:
-        stored = spark.read.parquet(root)
+        return spark.read.schema("version bigint").parquet(_versions(root)).agg(F.max("version")).first()[0]
     except AnalysisException:
         return None
-    version = stored.agg(F.max("version")).first()[0]
-    return None if version is None else stored.filter(F.col("version") == version).drop("version")
+
+
+def latest_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """Newest version of the chunk index, which may be empty, or null when none was written."""
+    version = _newest(spark, root)
+    return None if version is None else spark.read.parquet(f"{root.rstrip('/')}/version={version}")
 
 
 def write_index(spark: SparkSession, root: str, index: DataFrame) -> int:
-    """Write a new version beside the old ones and return its number; readers switch once it is complete."""
-    try:
-        newest = spark.read.parquet(root).agg(F.max("version")).first()[0]
-    except AnalysisException:
-        newest = None
-    version = 0 if newest is None else int(newest) + 1
-    index.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={version}")
+    """Write a new version beside the old ones and return its number; readers switch once it is complete.
+
+    What a run left that did not complete its version is overwritten. One run at a time writes an index.
+    """
+    newest = _newest(spark, root)
+    version = 0 if newest is None else newest + 1
+    index.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={version}")
+    spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(_versions(root))
     return version
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.functions import text as tx
 from emberline.operators import chunking as ck
 from emberline.operators import recommend as rc
 from emberline.operators import report as rp
@@ -56,6 +57,34 @@ def test_index_lifecycle(spark, tmp_path):
     (folder / "two.md").unlink()
     assert row() == (0, 1, 0) and tables.latest_index(spark, root).count() == 2
     assert row(prune_missing=True) == (0, 1, 0) and tables.latest_index(spark, root).count() == 1
+    (folder / "one.md").unlink()
+    assert row(prune_missing=True) == (0, 0, 0) and tables.latest_index(spark, root).count() == 0
+    assert row(rebuild=True) == (0, 0, 0) and tables.latest_index(spark, root).count() == 0
+    (folder / "one.md").write_text("# One\n## Passwords\nreset\n")
+    assert row() == (1, 0, 1) and row() == (0, 1, 0) and tables.latest_index(spark, root).count() == 1
+
+
+def test_json_extraction(spark):
+    cases = {
+        '{"a": 1}': '{"a": 1}', 'so: {"a": {"b": 2}} ok': '{"a": {"b": 2}}', '```json\n{"a": 1}\n``` {': '{"a": 1}', '```{"a": 1}```': '{"a": 1}',
+        '```\nnone\n``` then {"a": 1}': '{"a": 1}', "```json {": "```json {", " } x { ": "} x {", "  plain ": "plain", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.extract_json(F.col("t")).alias("got")).collect()
+    assert {r["t"]: r["got"] for r in rows} == cases
+
+
+def test_texts_are_scored_once(spark):
+    logs = spark.createDataFrame([(k, f"text {k % 5}") for k in range(20)], "log_idx bigint, description string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf.assign(vec=[[1.0]] * len(pdf))[["cache_key", "vec"]]
+
+    once = lambda texts: texts.mapInPandas(counted, "cache_key string, vec array<double>")
+    embedded, fresh, _ = sc.embed_rows(logs, "description", once)
+    assert embedded.count() == 20 and fresh.count() == 5 and calls.value == 5
 
 
 def test_retrieval_boost(spark):
