@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 from emberline.functions import fields as fx
 from emberline.functions import text as tx
 from emberline.operators.retrieve import first_seen_sources
-from emberline.schema import PRIORITIES, RECOMMENDATION_DDL, RECOMMENDATION_FIELDS
+from emberline.schema import (
+    LIST_SIZE, OPEN_LISTS, PRIORITIES, RECOMMENDATION_DDL, RECOMMENDATION_FIELDS, SIZED_LISTS, SIZED_TEXTS, TEXT_LENGTH,
+)
 
 _STRUCT = f"struct<{', '.join(p.replace(' ', ':', 1) for p in RECOMMENDATION_DDL.split(', '))}>"
 
 
+def answer_rules() -> str:
+    """What ``parse_responses`` accepts, told to the model."""
+    sized = [f'"{f}": text of {TEXT_LENGTH[0]} to {TEXT_LENGTH[1]} characters' for f in SIZED_TEXTS]
+    lists = [f'"{f}": list of {LIST_SIZE[0]} to {LIST_SIZE[1]} texts' for f in SIZED_LISTS]
+    free = [f'"{f}": list of texts, may be empty' for f in OPEN_LISTS]
+    rules = [*sized, *lists, *free, f'"priority": one of {", ".join(PRIORITIES)}']
+    return "Return one JSON object with exactly these keys and nothing around it:\n" + "\n".join(f"- {r}" for r in rules)
+
+
 def incident_prompt() -> Column:
     """Prompt text of a profile row with ``dominant_classes``, ``representative_logs`` and ``playbook_chunks``."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -35,7 +46,7 @@ def incident_prompt() -> Column:
         F.lit("## Severities"), tx.severity_lines(F.col("severity_breakdown")),
         F.lit("## Typical events"), tx.sample_rows(F.col("representative_logs")),
         F.lit("## Playbook sections"), tx.playbook_block(F.col("playbook_chunks")),
-        F.lit("Answer with one JSON object that recommends what to do about the events above."),
+        F.lit("## Answer\n\n" + answer_rules()),
     )
 
 
@@ -109,12 +120,12 @@ def _checked(df: DataFrame, text: str, prefix: str) -> DataFrame:
         (f"size(array_except(map_keys(_m), {known})) > 0", "unknown key"),
         (f"size(array_except({known}, map_keys(_m))) > 0", "missing key"),
     ]
-    for f in ("summary", "threat_assessment"):
-        problems.append((f"NOT coalesce(length(_{f}) BETWEEN 10 AND 2000, false)", f"{f} length"))
+    for f in SIZED_TEXTS:
+        problems.append((f"NOT coalesce(length(_{f}) BETWEEN {TEXT_LENGTH[0]} AND {TEXT_LENGTH[1]}, false)", f"{f} length"))
     for f in lists:
         problems.append((f"NOT coalesce(forall(_{f}, x -> schema_of_variant(x) = 'STRING'), false)", f"{f} not a list of texts"))
-    for f in ("immediate_actions", "investigation_steps"):
-        problems.append((f"NOT coalesce(size(_{f}) BETWEEN 1 AND 15, false)", f"{f} count"))
+    for f in SIZED_LISTS:
+        problems.append((f"NOT coalesce(size(_{f}) BETWEEN {LIST_SIZE[0]} AND {LIST_SIZE[1]}, false)", f"{f} count"))
     problems.append((f"{fx.enum_member('_priority', PRIORITIES)} IS NULL", "priority unknown"))
     errors = ", ".join(f"CASE WHEN {bad} THEN '{told}' END" for bad, told in problems)
     parts = []
@@ -143,50 +154,49 @@ def parse_responses(attempts: DataFrame, text: str = "response") -> DataFrame:
     ).select(*attempts.columns, "rec", "rec_errors")
 
 
-def _texts(*items: str) -> Column:
-    return F.array(*[F.lit(x) for x in items]) if items else F.expr("cast(array() AS ARRAY<STRING>)")
-
-
-def _struct(summary: Column, assessment: Column, actions: Column, steps: Column) -> Column:
+def _struct(summary: Column) -> Column:
+    """Recommendation that follows from the profile alone: what was counted, who has to look, and where to look first."""
+    count = lambda c, one, many: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, one).otherwise(many))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    named = F.concat(F.lit("cluster "), F.col("cluster_id").cast("string"))
+    facts = F.concat(
+        F.lit("Rule-based: peak severity "), F.col("max_severity"), F.lit(" sets priority "), F.col("priority"), F.lit("; "),
+        count("unique_src_ips", " source address and ", " source addresses and "),
+        count("unique_users_targeted", " account seen.", " accounts seen."),
+    )
+    urgent = F.col("priority").isin(PRIORITIES[:2])
+    action = F.when(urgent, F.concat(F.lit("Page the on-call responder for "), named)).otherwise(
+        F.concat(F.lit("Queue "), named, F.lit(" for the next triage slot"))
+    )
+    steps = F.array_compact(F.array(
+        F.concat(F.lit("Pull all "), F.col("dominant_event_type"), F.lit(" logs from "), iso("time_start"), F.lit(" to "), iso("time_end")),
+        F.when(F.col("unique_src_ips") > 0, F.lit("Trace the source addresses of the cluster in neighbouring log feeds")),
+        F.when(F.col("unique_users_targeted") > 0, F.lit("Check recent sign-ins and rights of the accounts in the cluster")),
+    ))
+    none = F.expr("cast(array() AS ARRAY<STRING>)")
     values = {
-        "summary": summary, "threat_assessment": assessment, "relevant_playbooks": _texts(), "immediate_actions": actions,
-        "investigation_steps": steps, "mitre_techniques": _texts(), "priority": F.col("priority"),
+        "summary": summary, "threat_assessment": facts, "relevant_playbooks": none, "immediate_actions": F.array(action),
+        "investigation_steps": steps, "mitre_techniques": none, "priority": F.col("priority"),
     }
     return F.struct(*[values[f].alias(f) for f in RECOMMENDATION_FIELDS])
 
 
+def _headline(why: Column) -> Column:
+    return F.concat(
+        F.col("dominant_event_type"), F.lit(" cluster "), F.col("cluster_id").cast("string"), F.lit(": "),
+        F.col("cluster_size").cast("string"), F.lit(" events over "), tx.time_span(F.col("time_start"), F.col("time_end")),
+        F.lit("; "), why, F.lit("."),
+    )
+
+
 def fallback_recommendation(error_name: Column) -> Column:
     """Recommendation made from profile columns after a failed generation."""
-    size = F.col("cluster_size").cast("string")
-    return _struct(
-        F.concat(
-            F.lit("No generated advice ("), error_name, F.lit("). An analyst has to review this group of "), size, F.lit(" "),
-            F.col("dominant_event_type"), F.lit(" events with severity up to "), F.col("max_severity"), F.lit("."),
-        ),
-        F.concat(
-            F.lit("Not assessed automatically: "), size, F.lit(" events from "), F.col("unique_src_ips").cast("string"),
-            F.lit(" source(s) touching "), F.col("unique_users_targeted").cast("string"),
-            F.lit(" user(s), severity up to "), F.col("max_severity"), F.lit("."),
-        ),
-        _texts("Assign the incident to an analyst for review", "Keep the representative events and the cluster profile"),
-        _texts(
-            "Look for shared indicators in the representative events", "Find out whether the activity still goes on",
-            "Escalate by business impact and data sensitivity",
-        ),
-    )
+    return _struct(_headline(F.concat(F.lit("advice missing ("), error_name, F.lit(")"))))
 
 
 def skipped_recommendation() -> Column:
-    """Placeholder for runs without recommendations."""
-    return _struct(
-        F.concat(
-            F.lit("Advice was not requested for this group of "), F.col("cluster_size").cast("string"), F.lit(" "),
-            F.col("dominant_event_type"), F.lit(" events."),
-        ),
-        F.lit("Not assessed; run again with recommendations for analyst guidance."),
-        _texts("Run the analysis again with recommendations"),
-        _texts("Review the representative events and the cluster profile"),
-    )
+    """Recommendation made from profile columns for runs without a generator."""
+    return _struct(_headline(F.lit("advice switched off")))
 
 
 def without_recommendations(profiles: DataFrame) -> DataFrame:

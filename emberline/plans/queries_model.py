@@ -16,7 +16,9 @@ from emberline.operators import retrieve as rt
 from emberline.operators import scoring as sc
 from emberline.plans import views as v
 from emberline.plans.analyse import analyse
-from emberline.plans.queries_text import embedded_chunks, profiles_with_samples, query_rows
+from emberline.plans.queries_text import (
+    BOOSTED, FETCHED, INCIDENT_SQL, PLAYBOOK_BLOCKS, PLAYBOOKS, TEXT_BLOCKS, embedded_chunks, profiles_with_samples, query_rows, span_sql,
+)
 from emberline.plans.sqlviews import CLASS_NAMES, MEMBERS, MEMBERSHIP, PROFILE
 from emberline.schema import MIN_CLUSTER_SIZE, MIN_SAMPLES
 from emberline.session import cut_lineage
@@ -182,7 +184,10 @@ def playbook_override(spark: SparkSession, sf: str) -> DataFrame:
 def fallback_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows = pf.incident_profiles(v.members(spark, sf))
     rec = rc.fallback_recommendation(F.lit("TimeoutError"))
-    return rows.select("cluster_id", rec.alias("r")).select("cluster_id", "r.summary", "r.threat_assessment", "r.priority")
+    return rows.select("cluster_id", rec.alias("r")).select(
+        "cluster_id", "r.summary", "r.threat_assessment", "r.priority", F.array_join("r.immediate_actions", "|").alias("actions"),
+        F.array_join("r.investigation_steps", "|").alias("steps"),
+    )
 
 
 def skipped_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,13 +260,20 @@ _VALID = "cluster_id % 5 <> 3"
 _RESULT = f"""
 kept AS (SELECT * FROM profile WHERE cluster_id >= 0),
 result AS (SELECT cluster_id, cluster_size, {_VALID} AS ok,
-  CASE WHEN {_VALID} THEN 'high' ELSE priority END AS priority, dominant_event_type, max_severity,
+  CASE WHEN {_VALID} THEN 'high' ELSE priority END AS priority, dominant_event_type, max_severity, time_start, time_end,
   CASE WHEN cluster_id % 5 = 4 THEN cluster_id + 1 ELSE cluster_id END AS k FROM kept)
 """
-_FALLBACK = (
-    "'No generated advice (' || {e} || '). An analyst has to review this group of ' || cluster_size || ' ' || "
-    "dominant_event_type || ' events with severity up to ' || max_severity || '.'"
-)
+_HEADLINE = f"dominant_event_type || ' cluster ' || cluster_id || ': ' || cluster_size || ' events over ' || {span_sql('time_start', 'time_end')} || '; '"
+_FALLBACK = f"{_HEADLINE} || 'advice missing (' || {{e}} || ').'"
+_ASSESSED = """'Rule-based: peak severity ' || max_severity || ' sets priority ' || priority || '; ' || unique_src_ips
+  || CASE WHEN unique_src_ips = 1 THEN ' source address and ' ELSE ' source addresses and ' END || unique_users_targeted
+  || CASE WHEN unique_users_targeted = 1 THEN ' account seen.' ELSE ' accounts seen.' END"""
+_ACTIONS = """CASE WHEN priority IN ('critical', 'high') THEN 'Page the on-call responder for cluster ' || cluster_id
+  ELSE 'Queue cluster ' || cluster_id || ' for the next triage slot' END"""
+_STEPS = """concat_ws('|', 'Pull all ' || dominant_event_type || ' logs from ' || strftime(time_start, '%Y-%m-%dT%H:%M:%SZ') || ' to '
+  || strftime(time_end, '%Y-%m-%dT%H:%M:%SZ'),
+  CASE WHEN unique_src_ips > 0 THEN 'Trace the source addresses of the cluster in neighbouring log feeds' END,
+  CASE WHEN unique_users_targeted > 0 THEN 'Check recent sign-ins and rights of the accounts in the cluster' END)"""
 _RESPONSES = f"responses AS (SELECT event_id AS cluster_id, {response_sql('event_id')} AS response FROM events)"
 _EXTRACTED = """extracted AS (SELECT *, coalesce(
   nullif(regexp_extract(regexp_extract(response, '(?s)```(?:json)?\\s*\\n?(.*?)\\n?\\s*```', 1), '(?s)\\{.*\\}'), ''),
@@ -318,20 +330,34 @@ QUERIES = {
         || ' in full' ELSE {_FALLBACK.replace('{e}', "'InvalidResponse'")} END AS summary, NOT ok AS recommendation_unavailable,
         0 AS n_playbooks FROM result""",
     ),
-    "h26_playbook_override": (playbook_override, None),
+    "h26_playbook_override": (
+        playbook_override,
+        f"""WITH {INCIDENT_SQL},{PLAYBOOKS},{FETCHED},{BOOSTED},{_RESULT},
+        f AS (SELECT qid, count(DISTINCT split_part(id, '::', 1))::INT AS n FROM boosted GROUP BY qid)
+        SELECT cluster_id, NOT ok AS recommendation_unavailable, CASE WHEN ok THEN n ELSE 0 END AS n_playbooks
+        FROM result JOIN f ON qid = cluster_id""",
+    ),
     "h24_fallback": (
         fallback_texts,
         f"""WITH {MEMBERS},{PROFILE} SELECT cluster_id, {_FALLBACK.replace('{e}', "'TimeoutError'")} AS summary,
-        'Not assessed automatically: ' || cluster_size || ' events from ' || unique_src_ips || ' source(s) touching '
-        || unique_users_targeted || ' user(s), severity up to ' || max_severity || '.' AS threat_assessment, priority FROM profile""",
+        {_ASSESSED} AS threat_assessment, {_ACTIONS} AS actions, {_STEPS} AS steps, priority FROM profile""",
     ),
     "h25_skipped": (
         skipped_texts,
-        f"""WITH {MEMBERS},{PROFILE} SELECT cluster_id, 'Advice was not requested for this group of ' || cluster_size || ' '
-        || dominant_event_type || ' events.' AS summary, 'skipped_by_user' AS fallback_reason, true AS recommendation_unavailable
-        FROM profile""",
+        f"""WITH {MEMBERS},{PROFILE} SELECT cluster_id, {_HEADLINE} || 'advice switched off.' AS summary,
+        'skipped_by_user' AS fallback_reason, true AS recommendation_unavailable FROM profile""",
+    ),
+    "h21_prompts": (
+        prompts,
+        f"""WITH {INCIDENT_SQL},{PLAYBOOKS},{FETCHED},{BOOSTED},{PLAYBOOK_BLOCKS},{TEXT_BLOCKS}
+        SELECT cluster_id, '# Incident to assess\n\n- cluster: ' || cluster_id || '\n- events: ' || cluster_size
+        || '\n- first and last event: ' || strftime(time_start, '%Y-%m-%dT%H:%M:%S.%f') || ' to ' || strftime(time_end, '%Y-%m-%dT%H:%M:%S.%f')
+        || ' (' || {span_sql('time_start', 'time_end')} || ')\n- main event type: ' || dominant_event_type
+        || '\n- distinct sources: ' || unique_src_ips || '\n- distinct users: ' || unique_users_targeted
+        || '\n\n## Classes\n\n' || classes || '\n\n## Severities\n\n' || severities || '\n\n## Typical events\n\n' || samples
+        || '\n\n## Playbook sections\n\n' || block || '\n\n## Answer\n\n' || '{rc.answer_rules()}' AS prompt
+        FROM profile JOIN blocks USING (cluster_id) JOIN playbook_blocks USING (cluster_id)""",
     ),
-    "h21_prompts": (prompts, None),
     "d14_run_stats": (
         run_stats,
         f"""WITH {MEMBERSHIP},{_USAGE} SELECT (SELECT count(*) FROM membership) AS total_logs, clusters AS n_clusters,

@@ -92,6 +92,25 @@ boosted AS (SELECT * FROM (
   FROM fetched f JOIN hints h USING (qid) JOIN chunks c ON c.chunk_id = f.id) WHERE chunk_rank <= 5)
 """
 
+PLAYBOOK_BLOCKS = """
+playbook_blocks AS (SELECT b.qid AS cluster_id, string_agg('### ' || c.source_file
+    || ' / ' || c.section || ' (score ' || printf('%.2f', round_even(b.score, 2)) || ')' || chr(10)
+    || CASE WHEN length(c.content) > 500 THEN rtrim(substr(c.content, 1, 500), ' ' || chr(10)) || '…' ELSE c.content END
+    || chr(10) || chr(10) || '---', chr(10) ORDER BY b.chunk_rank) AS block
+  FROM boosted b JOIN chunks c ON c.chunk_id = b.id GROUP BY b.qid)
+"""
+TEXT_BLOCKS = f"""
+class_lines AS (SELECT cluster_id, string_agg(class_name || ' x' || "count" || ' (confidence ' ||
+    printf('%.2f', round_even(avg_confidence, 2)) || ')', chr(10) ORDER BY rank) AS classes FROM dominant GROUP BY cluster_id),
+severity_lines AS (SELECT cluster_id, string_agg('- **' || severity || '**: ' || n, chr(10) ORDER BY {rank_of('severity')} DESC) AS severities
+  FROM (SELECT cluster_id, severity, count(*) AS n FROM members WHERE severity IS NOT NULL GROUP BY ALL) GROUP BY cluster_id),
+sample_lines AS (SELECT r.cluster_id, string_agg('- ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || ' ' || concat_ws(' ', severity, event_type)
+    || ' [' || concat_ws(', ', coalesce(src_ip, '?') || ' -> ' || coalesce(dst_ip, '?'), 'by ' || "user", 'action ' || action) || '] '
+    || description, chr(10) ORDER BY rank) AS samples
+  FROM representatives r JOIN members m ON m.log_idx = r.log_idx GROUP BY r.cluster_id),
+blocks AS (SELECT * FROM class_lines JOIN severity_lines USING (cluster_id) JOIN sample_lines USING (cluster_id))
+"""
+
 # ---- Spark side ----------------------------------------------------------------------------------------
 
 
@@ -373,7 +392,7 @@ _T = "'T[0-9]{4}(?:\\.[0-9]{3})?'"
 _LAST = "(SELECT *, max(\"timestamp\") OVER (PARTITION BY cluster_id, event_type, severity) AS last FROM members)"
 
 
-def _span(a: str, b: str) -> str:
+def span_sql(a: str, b: str) -> str:
     secs = f"(greatest(epoch_us({b}) - epoch_us({a}), 0) // 1000000)"
     return (
         f"CASE WHEN {secs} < 60 THEN {secs} || 's' WHEN {secs} < 3600 THEN ({secs} // 60) || 'm ' || ({secs} % 60) || 's' "
@@ -507,11 +526,7 @@ QUERIES = {
     ),
     "h20_playbook_block": (
         playbook_blocks,
-        f"""WITH {INCIDENT_SQL},{PLAYBOOKS},{FETCHED},{BOOSTED} SELECT b.qid AS cluster_id, string_agg('### ' || c.source_file
-        || ' / ' || c.section || ' (score ' || printf('%.2f', round_even(b.score, 2)) || ')' || chr(10)
-        || CASE WHEN length(c.content) > 500 THEN rtrim(substr(c.content, 1, 500), ' ' || chr(10)) || '…' ELSE c.content END
-        || chr(10) || chr(10) || '---', chr(10) ORDER BY b.chunk_rank) AS block
-        FROM boosted b JOIN chunks c ON c.chunk_id = b.id GROUP BY b.qid""",
+        f"WITH {INCIDENT_SQL},{PLAYBOOKS},{FETCHED},{BOOSTED},{PLAYBOOK_BLOCKS} SELECT cluster_id, block FROM playbook_blocks",
     ),
     "c8_technique_overlap": (
         technique_overlap,
@@ -529,7 +544,7 @@ QUERIES = {
     ),
     "h16_time_spans": (
         time_spans,
-        f"""WITH {MEMBERS} SELECT log_idx, {_span('"timestamp"', 'last')} AS span, {_span('last', '"timestamp" - INTERVAL 1 SECOND')} AS back,
+        f"""WITH {MEMBERS} SELECT log_idx, {span_sql('"timestamp"', 'last')} AS span, {span_sql('last', '"timestamp" - INTERVAL 1 SECOND')} AS back,
         strftime("timestamp", '%Y-%m-%d %H:%M') || ' → ' || CASE WHEN "timestamp"::DATE = last::DATE THEN strftime(last, '%H:%M')
         ELSE strftime(last, '%Y-%m-%d %H:%M') END AS "range" FROM {_LAST}""",
     ),
@@ -547,19 +562,7 @@ QUERIES = {
     ),
     "h17_text_blocks": (
         incident_text_blocks,
-        f"""WITH {INCIDENT_SQL},
-        c AS (SELECT cluster_id, '| Class | Count | Avg confidence |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-          string_agg('| ' || class_name || ' | ' || "count" || ' | ' || printf('%.2f', round_even(avg_confidence, 2)) || ' |',
-          chr(10) ORDER BY rank) AS classes FROM dominant GROUP BY cluster_id),
-        s AS (SELECT cluster_id, string_agg('- **' || severity || '**: ' || n, chr(10) ORDER BY {rank_of('severity')} DESC) AS severities
-          FROM (SELECT cluster_id, severity, count(*) AS n FROM members WHERE severity IS NOT NULL GROUP BY ALL) GROUP BY cluster_id),
-        r AS (SELECT r.cluster_id, string_agg('### Sample ' || rank || chr(10) || '- Time: '
-          || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || chr(10) || '- Type: ' || event_type || chr(10) || '- Severity: '
-          || coalesce(severity, 'n/a') || chr(10) || '- Description: ' || description || chr(10) || '- Source: '
-          || coalesce(src_ip, 'n/a') || chr(10) || '- Destination: ' || coalesce(dst_ip, 'n/a') || chr(10) || '- User: '
-          || coalesce("user", 'n/a') || chr(10) || '- Action: ' || coalesce(action, 'n/a'), chr(10) || chr(10) ORDER BY rank) AS samples
-          FROM representatives r JOIN members m ON m.log_idx = r.log_idx GROUP BY r.cluster_id)
-        SELECT cluster_id, classes, severities, samples FROM c JOIN s USING (cluster_id) JOIN r USING (cluster_id)""",
+        f"WITH {INCIDENT_SQL},{TEXT_BLOCKS} SELECT cluster_id, classes, severities, samples FROM blocks",
     ),
     "f1_set_operations": (
         set_operations,

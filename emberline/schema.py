@@ -19,6 +19,7 @@ PRIORITY_ICONS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "
 # Texts that stand for "no value" in address and port fields.
 EMPTY_MARKERS = ["", "n/a", "null", "none", "-", "unknown"]
 
+# Fields of a log row by kind.
 REQUIRED_TEXT = ["event_id", "description", "raw_log"]
 OPTIONAL_TEXT = [
     "user", "action", "object", "protocol", "mac_address", "alert_type",
@@ -37,10 +38,14 @@ KNOWN_FIELDS = [
     *NESTED_FIELDS, *OPTIONAL_TEXT, *IP_FIELDS, *PORT_FIELDS,
 ]
 
+# Keys of a recommendation, and the sizes that its texts and lists may have.
 RECOMMENDATION_FIELDS = [
     "summary", "threat_assessment", "relevant_playbooks", "immediate_actions",
     "investigation_steps", "mitre_techniques", "priority",
 ]
+SIZED_TEXTS, TEXT_LENGTH = ["summary", "threat_assessment"], (10, 2000)
+SIZED_LISTS, LIST_SIZE = ["immediate_actions", "investigation_steps"], (1, 15)
+OPEN_LISTS = ["relevant_playbooks", "mitre_techniques"]
 RECOMMENDATION_DDL = (
     "summary STRING, threat_assessment STRING, relevant_playbooks ARRAY<STRING>, "
     "immediate_actions ARRAY<STRING>, investigation_steps ARRAY<STRING>, "
