@@ -18,15 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import byte_texts, row_numbers, small_batches, stored
+from emberline.llm.common import BLOCK_BITS, byte_texts, row_numbers, rows_of_blocks, small_batches, stored, stored_by_block
 from emberline.operators.spanning import contract
 
 WORDS = 5
 SIMILARITY = (75, 100)
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
-DENSE = 32  # rows ahead that must not share the prefix that is asked for
-NEAR = 4  # rows ahead that are paired
+DENSE = 32  # rows ahead that must not share the prefix that is asked for; all rows that do share it are paired
+NEAR = 4  # rows ahead that are paired where over DENSE rows share a whole key: they lie sorted by their sketches
 FLOOR = 0.54  # estimate of 0.75 less 4.5 standard deviations of HASHES two-bit comparisons
 KEY = 4 * DEPTH + 1
 MEMO_WORDS = 1 << 19
@@ -78,10 +78,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 _SIGNED = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary()),
+    ("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary()),
     ("sketch", pa.binary()), ("text", pa.binary()),
 ])
-_SIGNED_DDL = "row bigint, doc_id bigint, n bigint, digest binary, keys binary, sketch binary, text binary"
+_SIGNED_DDL = "block bigint, row bigint, doc_id bigint, n bigint, digest binary, keys binary, sketch binary, text binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +104,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two = (low & np.uint32(3)).astype(np.uint8)
             sketches.append((two[0::4] | two[1::4] << 2 | two[2::4] << 4 | two[3::4] << 6).tobytes())
         binary = lambda v: pa.array(v, pa.binary())
+        own_rows = row_numbers(rows, len(texts))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row_numbers(rows, len(texts))), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), binary(digests),
+            [pa.array(own_rows >> BLOCK_BITS), pa.array(own_rows), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), binary(digests),
              binary(keys), binary(sketches), binary(texts)],
             schema=_SIGNED,
         )
@@ -116,10 +117,10 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
 _PAIR_DDL = "a bigint, b bigint, w double"
 
 
-def _prefix(keys: np.ndarray, ahead: int, n: int) -> np.ndarray:
-    """Shared leading minima of rows i and i + ahead, for the first n rows; -1 across trees."""
-    one, two = keys[:n], keys[ahead : ahead + n]
-    same = (one[:, 1:] == two[:, 1:]).reshape(n, DEPTH, 4).all(axis=2)
+def _prefix(keys: np.ndarray, at: np.ndarray, ahead: int) -> np.ndarray:
+    """Shared leading minima of the rows at i and i + ahead; -1 across trees."""
+    one, two = keys[at], keys[at + ahead]
+    same = (one[:, 1:] == two[:, 1:]).reshape(len(at), DEPTH, 4).all(axis=2)
     shared = np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1)
     return np.where(one[:, 0] == two[:, 0], shared, -1)
 
@@ -132,18 +133,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(n, np.int64)
         known = min(n, len(rows) - DENSE)
         if known > 0:
-            dense[:known] = np.maximum(_prefix(keys, DENSE, known), 0)
+            dense[:known] = np.maximum(_prefix(keys, np.arange(known), DENSE), 0)
         asked = np.minimum(dense + 1, DEPTH)
-        for ahead in range(1, NEAR + 1):
-            k = min(n, len(rows) - ahead)
-            if k <= 0:
+        close = np.arange(n)
+        for ahead in range(1, DENSE):  # what a row shares with the one i rows ahead only shrinks with i
+            close = close[close < len(rows) - ahead]
+            if ahead == NEAR + 1:
+                close = close[dense[close] < DEPTH]
+            close = close[_prefix(keys, close, ahead) >= asked[close]]
+            if not len(close):
                 break
-            close = np.flatnonzero(_prefix(keys, ahead, k) >= asked[:k])
             x = sketch[close] ^ sketch[close + ahead]
             unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
             estimate = (1 - unequal / HASHES - 0.25) / 0.75
-            close, estimate = close[estimate >= FLOOR], estimate[estimate >= FLOOR]
-            one, two = rows[close], rows[close + ahead]
+            likely, estimate = close[estimate >= FLOOR], estimate[estimate >= FLOOR]
+            one, two = rows[likely], rows[likely + ahead]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(np.round(1 - estimate, 6))], schema=_PAIR
             )
@@ -179,10 +183,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs that hold on the full shingle sets of both texts."""
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = stored(signed.select("row", "text").join(ends, "row", "left_semi"), "texts")
-    one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    """The pairs that hold on the full shingle sets of both texts.
+
+    Wanted texts are picked in the files of the tasks that signed them; a text that no pair names is never moved.
+    The joins are merge joins at every size, so that large and small inputs run the same plan.
+    """
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
+    texts = stored(rows_of_blocks(signed.select("block", "row", "text"), ends).drop("block"), "texts")
+    one, two = texts.toDF("a", "text_a").hint("merge"), texts.toDF("b", "text_b").hint("merge")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_confirm, _LINK_DDL).filter("linked").select("a", "b"), "links")
 
@@ -195,7 +203,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows each get a row. component_id is the smallest doc_id that links reach; null doc_ids do not count in it,
     and a component of null doc_ids only has a null component_id. An empty table gives an empty result.
     """
-    signed = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED_DDL), "signed")
+    chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    signed = stored_by_block(chosen.mapInArrow(_sign, _SIGNED_DDL), "signed")
     sets = stored(
         signed.filter("digest IS NOT NULL").groupBy("digest").agg(
             F.min("row").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
@@ -205,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     orders = sets.select(
         "rep", F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(keys, i * {KEY} + 1, {KEY}))")).alias("key"), "sketch"
     )
-    sorted_orders = orders.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    sorted_orders = orders.repartitionByRange("key", "sketch", "rep").sortWithinPartitions("key", "sketch", "rep")
     found = sorted_orders.mapInArrow(_neighbours, _PAIR_DDL)
     candidates = stored(found.groupBy("a", "b").agg(F.min("w").alias("w")), "candidates")
 
