@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import block_names, chat_windows, hamming_search, licences, minhash_forest, mixing, packing, passages, secrets, toxicity
+from emberline.llm import (
+    block_names, chat_windows, hamming_search, licences, merkle, minhash_forest, mixing, packing, passages, periodic_runs, secrets, toxicity,
+    url_filter,
+)
 from emberline.llm.common import table
 from emberline.session import ship_package
 
@@ -135,6 +138,111 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.chat_windows(turns))
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+OP11 = f"""
+WITH rules(r_host, r_path, verdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM pages),
+f AS (
+  SELECT u.*, r_host || r_path AS rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(r_host) DESC, length(r_path) DESC) AS place
+  FROM u LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE place = 1
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree a language; where 7 divides crc32 of the doc_id, the leaf that is folded has one more in n_chars."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [*fields[:3], F.col("n_chars").cast("bigint") + 1, fields[4]]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    leaves = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", merkle.fields_digest(*fields).alias("leaf"), F.when(tampered, merkle.fields_digest(*changed)).alias("other")
+    )
+    found = merkle.manifest(leaves, "lang", ["doc_id"], "leaf").withColumn("folded_root", merkle.fold(F.coalesce("row.other", "row.leaf"), F.col("path")))
+    return found.select(
+        "row.doc_id", "row.leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+#: crc32 in SQL: each byte of the text is mixed in, and eight bits are shifted out after it.
+_CRC = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda crc, b: CASE WHEN b < 0 THEN xor(crc >> 1, 3988292384 * (crc & 1)) ELSE xor(crc, b) END))"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion, and a walk up from every leaf, through its language's tree and then the tree of subroots."""
+    digest = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    changed = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text")) + ")"
+
+    def levels(name: str, start: str) -> str:
+        return f"""{name} AS (
+  SELECT tree, 0 AS level, k, h, count(*) OVER (PARTITION BY tree) AS m FROM {start}
+  UNION ALL
+  SELECT tree, level, k, h, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, level + 1 AS level, k // 2 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM {name} WHERE m > 1 GROUP BY tree, level, k // 2))"""
+
+    def walk(name: str, start: str, nodes: str, tops: str) -> str:
+        return f"""{name} AS (
+  SELECT id, tree, k, 0 AS level, proof, f FROM {start}
+  UNION ALL
+  SELECT w.id, w.tree, w.k // 2, w.level + 1, w.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN w.k % 2 = 0 THEN w.f || coalesce(s.h, '') ELSE s.h || w.f END)
+  FROM {name} w JOIN {tops} t ON t.tree = w.tree AND w.level < t.level
+  LEFT JOIN {nodes} s ON s.tree = w.tree AND s.level = w.level AND s.k = xor(w.k, 1))"""
+
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {digest} AS leaf, CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN {changed} END AS other FROM documents),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, row_number() OVER () AS id, leaf AS h FROM d),
+{levels('lv', 'l')},
+sub AS (SELECT tree, level, h FROM lv WHERE m = 1),
+u AS (SELECT 0 AS tree, tree AS of, row_number() OVER (ORDER BY tree) - 1 AS k, h FROM sub),
+{levels('uv', 'u')},
+top AS (SELECT tree, level, h FROM uv WHERE m = 1),
+low AS (SELECT id, tree, k, '' AS proof, coalesce(other, leaf) AS f FROM l),
+{walk('w', 'low', 'lv', 'sub')},
+mid AS (SELECT w.id, 0 AS tree, u.k, w.proof, w.f FROM w JOIN sub ON sub.tree = w.tree AND sub.level = w.level JOIN u ON u.of = w.tree),
+{walk('x', 'mid', 'uv', 'top')}
+SELECT l.doc_id, l.leaf, sub.h AS subroot, top.h AS root, sha256(x.proof) AS proof_sha256, x.f AS folded_root, x.f = top.h AS verified
+FROM l JOIN sub ON sub.tree = l.tree JOIN x ON x.id = l.id JOIN top ON x.level = top.level
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts; where 10 divides crc32 of the doc_id, the words from a place on repeat a period, as the contract says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    split = docs.withColumn("g", F.expr("h div 10")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n = F.size("words")
+    placed = split.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.expr("(size(words) - a) div (3 + g % 8)"))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    repeated = placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    best = periodic_runs.greatest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")
+    )), "")
+    return periodic_runs.periodic_runs(repeated).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -146,6 +254,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_mixing": (op9_mixing, _mixing_sql()),
     "op10_chat_windows": (op10_chat_windows, None),
+    "op11_url_filter": (op11_url_filter, OP11),
+    "op12_merkle_manifest": (op12_merkle_manifest, _merkle_sql()),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
 
 
