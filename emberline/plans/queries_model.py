@@ -24,6 +24,7 @@ from emberline.schema import MIN_CLUSTER_SIZE, MIN_SAMPLES
 from emberline.session import cut_lineage
 
 EPS = 1.15
+LEAF_ROWS = 64
 PAIRS = """
 unit AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) for x in e] AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
@@ -37,13 +38,20 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _core(spark: SparkSession, sf: str):
+    """(members, tree, neighbours, core) through leaves so small that every table has several."""
     nodes, members = dn.weighted_nodes(_points(spark, sf))
-    blocks = nn.into_blocks(nodes.select("id", "vec"), dn.BLOCK_ROWS)
-    return members, blocks, cut_lineage(dn.core_distances(nodes, MIN_SAMPLES, dn.BLOCK_ROWS, blocks), "core")
+    tree = nn.metric_tree(nodes.select("id", "vec"), LEAF_ROWS)
+    near = cut_lineage(nn.tree_nearest(None, nodes, MIN_SAMPLES, LEAF_ROWS, tree), "near")
+    return members, tree, near, cut_lineage(dn.core_distances(nodes, near, MIN_SAMPLES), "core")
+
+
+def _tree(spark: SparkSession, sf: str):
+    members, tree, near, core = _core(spark, sf)
+    return members, core, dn.spanning_tree(core, tree, near=near)
 
 
 def core_distance(spark: SparkSession, sf: str) -> DataFrame:
-    members, _, core = _core(spark, sf)
+    members, _, _, core = _core(spark, sf)
     return members.join(core.withColumnRenamed("id", "node"), "node").select(
         F.col("id").alias("vec_id"), F.round("core", 6).alias("core")
     )
@@ -51,9 +59,7 @@ def core_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 def mutual_reachability(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of the pairs of each row with its nearest rows."""
-    unit = _points(spark, sf).select("id", vx.l2_normalise(F.col("vec")).alias("vec"))
-    near = nn.cell_nearest(None, unit, MIN_SAMPLES)
-    _, _, core = _core(spark, sf)
+    _, _, near, core = _core(spark, sf)
     side = lambda key, name: core.select(F.col("id").alias(key), F.col("core").alias(name))
     return near.join(side("qid", "core_a"), "qid").join(side("id", "core_b"), "id").select(
         F.col("qid").alias("a"), F.col("id").alias("b"), F.round(F.greatest("dist", "core_a", "core_b"), 6).alias("w")
@@ -61,26 +67,25 @@ def mutual_reachability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
-    _, blocks, core = _core(spark, sf)
-    tree = dn.spanning_tree(core, blocks)
+    _, _, tree = _tree(spark, sf)
     return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 5).alias("total"), F.round(F.max("w"), 6).alias("longest"))
 
 
 def flat_cut(spark: SparkSession, sf: str) -> DataFrame:
-    members, blocks, core = _core(spark, sf)
-    cut = dn.flat_cut(core, dn.spanning_tree(core, blocks), EPS)
+    members, core, tree = _tree(spark, sf)
+    cut = dn.flat_cut(core, tree, EPS)
     return members.join(cut, "node").select(F.col("id").alias("vec_id"), F.coalesce("root", F.lit(-1)).alias("component"))
 
 
 def condensed_tree(spark: SparkSession, sf: str) -> DataFrame:
-    _, blocks, core = _core(spark, sf)
-    clusters, _ = dn.condensed_tree(core, dn.spanning_tree(core, blocks), MIN_CLUSTER_SIZE)
+    _, core, tree = _tree(spark, sf)
+    clusters, _ = dn.condensed_tree(core, tree, MIN_CLUSTER_SIZE)
     return clusters
 
 
 def stable_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    _, blocks, core = _core(spark, sf)
-    clusters, _ = dn.condensed_tree(core, dn.spanning_tree(core, blocks), MIN_CLUSTER_SIZE)
+    _, core, tree = _tree(spark, sf)
+    clusters, _ = dn.condensed_tree(core, tree, MIN_CLUSTER_SIZE)
     return dn.select_clusters(cut_lineage(clusters, "clusters"))
 
 

@@ -48,11 +48,11 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def cut_lineage(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table."""
+def cut_lineage(df: DataFrame, tag: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in one folder for each value of ``by``, and go on from the written table."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/emberline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
