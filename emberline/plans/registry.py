@@ -23,10 +23,10 @@ def _prepared(query: Query) -> Query:
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    from emberline.plans import queries_model, queries_profile, queries_rows, queries_text
+    from emberline.plans import queries_files, queries_model, queries_profile, queries_rows, queries_text
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (queries_rows, queries_profile, queries_text, queries_model):
+    for module in (queries_files, queries_rows, queries_profile, queries_text, queries_model):
         for name, (query, sql) in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"query {name} registered twice")
