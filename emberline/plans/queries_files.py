@@ -7,13 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators import scoring as sc
 from emberline.operators import validate as val
 from emberline.plans import views as v
+from emberline.plans.analyse import refresh_index
+from emberline.plans.queries_text import PLAYBOOKS
 from emberline.plans.sqlviews import CHECKED, RAW
 from emberline.session import scratch_root
 from emberline.sources import logfiles as lf
+from emberline.sources import tables
 
 FILE_ROWS = 500  # events in one file
+ADDED = "## Added\nmore on T1059"
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
@@ -90,6 +95,44 @@ def reject_preview(spark: SparkSession, sf: str) -> DataFrame:
     return val.rejected_rows(lf.load_logs(spark, folder, "jsonl")).select("error", "raw_preview")
 
 
+def _index_runs(spark: SparkSession, sf: str) -> tuple[str, list[DataFrame]]:
+    """An index made, refreshed with some documents changed and some gone, and refreshed again without a change."""
+    root = _folder(spark, "index")
+    docs = v.playbook_docs(spark, sf)
+    number = F.regexp_extract("source_file", "[0-9]+", 0).cast("bigint")
+    later = docs.filter(number % 11 != 0).withColumn(
+        "content", F.when(number % 7 == 0, F.concat("content", F.lit(f"\n\n{ADDED}\n"))).otherwise(F.col("content"))
+    )
+    embed = sc.native_embed(lambda text: sc.hash_embedding(text, 8))
+    return root, [refresh_index(docs, root, embed), *(refresh_index(later, root, embed, prune_missing=True) for _ in range(2))]
+
+
+def index_runs(spark: SparkSession, sf: str) -> DataFrame:
+    _, runs = _index_runs(spark, sf)
+    told = [r.select(F.lit(i).alias("run"), "*") for i, r in enumerate(runs)]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+def index_table(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored index holds after the runs."""
+    root, _ = _index_runs(spark, sf)
+    rows = tables.latest_index(spark, root)
+    return rows.groupBy("source_file").agg(
+        F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("chars"), F.count_if(F.col("section") == "Added").alias("added")
+    )
+
+
+def cache_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts scored in two runs over one stored cache, half of them first: every row with its vector's first value."""
+    path = _folder(spark, "cache")
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    embed = sc.native_embed(lambda text: sc.hash_embedding(text, 8, False))
+    for part in (docs.filter("doc_id % 2 = 0"), docs):
+        rows, fresh, _ = sc.embed_rows(part, "text", embed, tables.read_cache(spark, path))
+        tables.append_cache(path, fresh)
+    return rows.select("doc_id", F.round(F.get("vec", F.lit(0)) * 255).cast("int").alias("first"))
+
+
 _NO = f"row_number() OVER (PARTITION BY log_idx // {FILE_ROWS} ORDER BY log_idx) AS row_no"
 _JSON = f"""WITH {RAW} SELECT {_NO}, event_id, raw_log, src_port, CASE WHEN advanced_metadata = '{{' THEN risk END AS risk FROM raw"""
 
@@ -111,6 +154,22 @@ QUERIES = {
         f"""WITH {RAW},{CHECKED} SELECT 3 * count(*) AS total_rows, 3 * count(*) FILTER (problems = 0) AS parsed,
         3 * count(*) FILTER (problems > 0) AS skipped FROM verdict""",
     ),
+    "p2_index_run": (
+        index_runs,
+        f"""WITH {PLAYBOOKS}, n AS (
+          SELECT doc_id, doc_id % 11 = 0 AS gone, doc_id % 7 = 0 AS changed, (SELECT count(*) FROM chunks WHERE source_file = 'doc_' || doc_id || '.md') AS n
+          FROM documents)
+        SELECT 0 AS run, count(*) AS indexed_files, 0 AS skipped_files, sum(n)::BIGINT AS total_chunks FROM n
+        UNION ALL SELECT 1, count(*) FILTER (changed), count(*) FILTER (NOT changed), (sum(n + 1) FILTER (changed))::BIGINT FROM n WHERE NOT gone
+        UNION ALL SELECT 2, 0, count(*), 0 FROM n WHERE NOT gone""",
+    ),
+    "a8_index_table": (
+        index_table,
+        f"""WITH {PLAYBOOKS}, d AS (SELECT 'doc_' || doc_id || '.md' AS source_file, doc_id % 7 = 0 AS changed FROM documents WHERE doc_id % 11 <> 0)
+        SELECT source_file, count(*) + any_value(changed)::INT AS n_chunks, (sum(length(content)) + any_value(changed)::INT * {len(ADDED)})::BIGINT AS chars,
+        any_value(changed)::BIGINT AS added FROM chunks JOIN d USING (source_file) GROUP BY source_file""",
+    ),
+    "a9_cache_table": (cache_table, "SELECT doc_id, ('0x' || substr(sha256(text), 1, 2))::INT AS first FROM documents"),
     "h27_reject_preview": (
         reject_preview,
         """SELECT 'description: field required; raw_log: field required; timestamp: field required; event_type: field required' AS error,

@@ -14,7 +14,7 @@ from emberline.operators import recommend as rc
 from emberline.operators import report as rp
 from emberline.operators import retrieve as rt
 from emberline.operators import scoring as sc
-from emberline.plans.analyse import analyse, index_playbooks
+from emberline.plans.analyse import analyse, index_playbooks, refresh_index
 from emberline.sources import tables
 
 DOC = (
@@ -64,6 +64,25 @@ def test_index_lifecycle(spark, tmp_path):
     assert row() == (1, 0, 1) and row() == (0, 1, 0) and tables.latest_index(spark, root).count() == 1
 
 
+def test_index_writes_only_changed_buckets(spark, tmp_path):
+    root, files = str(tmp_path / "index"), lambda: {p for p in (tmp_path / "index").rglob("*.parquet")}
+    docs = lambda changed: spark.createDataFrame([(f"d{i}.md", f"# D\n## A\ntext {i}{' new' * (i in changed)}\n") for i in range(40)], "source_file string, content string")
+    refresh_index(docs(()), root, embed)
+    first, (version, named) = files(), tables.manifest(spark, root)
+    assert version == 0 and len(first) == len(named) > 10
+    refresh_index(docs(()), root, embed)
+    assert files() == first and tables.manifest(spark, root) == (0, named)
+    refresh_index(docs((3,)), root, embed)
+    assert len(files() - first) == 1 and first <= files()
+    version, after = tables.manifest(spark, root)
+    assert version == 1 and sum(after[b] != named[b] for b in named) == 1
+    refresh_index(docs((3, 4)), root, embed)
+    assert tables.latest_index(spark, root).count() == 40
+    rows = {r["source_file"]: r["content"] for r in tables.latest_index(spark, root).collect()}
+    assert rows["d3.md"].endswith("new") and rows["d4.md"].endswith("new") and not rows["d5.md"].endswith("new")
+    assert len(first - files()) == 1  # the bucket that neither of the two newest versions names
+
+
 def test_json_extraction(spark):
     cases = {
         '{"a": 1}': '{"a": 1}', 'so: {"a": {"b": 2}} ok': '{"a": {"b": 2}}', '```json\n{"a": 1}\n``` {': '{"a": 1}', '```{"a": 1}```': '{"a": 1}',
