@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import text as tx
-from emberline.functions import vectors as vx
 from emberline.operators import density as dn
 from emberline.operators import nearest as nn
 from emberline.operators import profile as pf
@@ -19,8 +18,8 @@ from emberline.plans.analyse import analyse
 from emberline.plans.queries_text import (
     BOOSTED, FETCHED, INCIDENT_SQL, PLAYBOOK_BLOCKS, PLAYBOOKS, TEXT_BLOCKS, embedded_chunks, profiles_with_samples, query_rows, span_sql,
 )
-from emberline.plans.sqlviews import CLASS_NAMES, MEMBERS, MEMBERSHIP, PROFILE
-from emberline.schema import MIN_CLUSTER_SIZE, MIN_SAMPLES
+from emberline.plans.sqlviews import CLASS_NAMES, LOGS, MEMBERS, MEMBERSHIP, PROFILE, SCORED
+from emberline.schema import DOMINANT_CLASSES, MIN_CLUSTER_SIZE, MIN_SAMPLES, REPRESENTATIVES
 from emberline.session import cut_lineage
 
 EPS = 1.15
@@ -238,29 +237,54 @@ def json_report(spark: SparkSession, sf: str) -> DataFrame:
     return rp.report_json(plain_incidents(spark, sf))
 
 
+GROUPS = 9
+
+
+def planted_vector(group: Column, noise: list[Column]) -> Column:
+    """One axis for each group, and small noise on further axes: dense groups, far apart, of different vectors."""
+    axes = [F.when(group == g, 1.0).otherwise(0.0) for g in range(GROUPS)]
+    return F.array(*axes, *[0.05 * (n - 0.5) for n in noise])
+
+
+def planted_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Density clusters of vectors planted in groups by row number, noise taken from the stored vectors' digests."""
+    digest = F.sha2(F.array_join(F.col("vec").cast("array<string>"), ","), 256)
+    rows = v.vectors(spark, sf).select(F.col("vec_id").alias("id"), planted_vector(F.col("vec_id") % GROUPS, _noise(digest)).alias("vec"))
+    return dn.cluster_points(rows).select(F.col("id").alias("vec_id"), "cluster_id", (F.col("probability") > 0).alias("inside"))
+
+
+def _noise(digest: Column) -> list[Column]:
+    return [F.conv(F.substring(digest, 1 + 4 * k, 4), 16, 10).cast("double") / 65535.0 for k in range(4)]
+
+
 def full_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """All valid rows through stored vectors of their texts, clustering, classing and the skip path.
-
-    The stored vectors lean toward the mean of their label, so that there are dense groups to find.
-    """
-    rows = cut_lineage(v.logs(spark, sf), "logs")
-    raw = v.vectors(spark, sf)
-    lean = F.zip_with("vec", "centroid", lambda x, m: x.cast("double") + 8.0 * m)
-    stored = raw.join(pf.centroids(raw, 64, by="label"), "label").select("vec_id", lean.alias("vec"))
-    keys = cut_lineage(
-        v.membership(spark, sf).select("log_idx", "vec_id").join(rows.select("log_idx", "description"), "log_idx")
-        .withColumn("cache_key", tx.cache_key(F.col("description"))).join(stored, "vec_id")
-        .groupBy("cache_key").agg(F.min_by("vec", "log_idx").alias("vec")), "texts",
-    )
-    embed = lambda texts: texts.select("cache_key").join(keys, "cache_key")
+    """All valid rows, each with a text and so a vector of its own, through clustering, classing and the skip path."""
+    text = F.concat("description", F.lit(" case "), F.col("log_idx").cast("string"))
+    rows = cut_lineage(v.logs(spark, sf).withColumn("description", text), "logs")
+    case = F.regexp_extract("text", " case ([0-9]+)$", 1).cast("bigint")
+    embed = lambda texts: texts.select("cache_key", planted_vector(case % GROUPS, _noise(F.sha2("text", 256))).alias("vec"))
     classify = lambda scored: sc.hash_classify(scored, "description", CLASS_NAMES)
-    done = analyse(rows, embed, 64, classify=classify, skip_recommendations=True, run_id="run0")
+    done = analyse(rows, embed, GROUPS + 4, classify=classify, skip_recommendations=True, run_id="run0")
     return done.incidents.select(
         "cluster_id", "cluster_size", "dominant_event_type", "max_severity", F.col("recommendation.priority").alias("priority"),
         F.size("representative_logs").alias("n_samples"), F.size("dominant_classes").alias("n_classes"), "fallback_reason",
     )
 
 
+#: Planted groups of at least the least size, numbered by their smallest row; one group alone is no cluster.
+_PLANTED = f"""
+planted AS (SELECT id % {GROUPS} AS g, min(id) AS low, count(*) AS n FROM points GROUP BY 1),
+numbered AS (SELECT g, CASE WHEN count(*) OVER () > 1 THEN row_number() OVER (ORDER BY low) - 1 ELSE -1 END AS cluster_id FROM planted WHERE n >= {MIN_CLUSTER_SIZE})
+"""
+_PRIM = f"""
+mutual AS (SELECT a, b, greatest(d, x.core, y.core) AS w FROM pairs JOIN core x ON x.vec_id = a JOIN core y ON y.vec_id = b),
+first AS (SELECT min(vec_id) AS v FROM core),
+prim AS (
+  SELECT 1 AS step, b AS v, w AS best FROM mutual JOIN first ON a = first.v
+  UNION ALL
+  SELECT step + 1, r.v, least(r.best, m.w) FROM (SELECT *, first_value(v) OVER (ORDER BY best, v) AS pick FROM prim) r
+  JOIN mutual m ON m.a = r.pick AND m.b = r.v WHERE r.v <> r.pick)
+"""
 _VALID = "cluster_id % 5 <> 3"
 _RESULT = f"""
 kept AS (SELECT * FROM profile WHERE cluster_id >= 0),
@@ -297,7 +321,11 @@ QUERIES = {
         f"""WITH {PAIRS} SELECT a, b, round(greatest(d, x.core, y.core), 6) AS w FROM ranked
         JOIN core x ON x.vec_id = a JOIN core y ON y.vec_id = b WHERE rn <= 3""",
     ),
-    "k3_spanning_tree": (spanning_tree, None),
+    "k3_spanning_tree": (
+        spanning_tree,
+        f"""WITH RECURSIVE {PAIRS},{_PRIM} SELECT count(*) AS n_edges, round(sum(w), 5) AS total, round(max(w), 6) AS longest
+        FROM (SELECT step, min(best) AS w FROM prim GROUP BY step)""",
+    ),
     "k4_flat_cut": (
         flat_cut,
         f"""WITH RECURSIVE {PAIRS},
@@ -310,6 +338,12 @@ QUERIES = {
     "k5_condensed_tree": (condensed_tree, None),
     "k6_stable_clusters": (stable_clusters, None),
     "k7_density_labels": (density_labels, None),
+    "k7_planted_groups": (
+        planted_groups,
+        f"""WITH points AS (SELECT vec_id AS id FROM embeddings),{_PLANTED}
+        SELECT id AS vec_id, coalesce(cluster_id, -1) AS cluster_id, coalesce(cluster_id, -1) >= 0 AS inside
+        FROM points LEFT JOIN numbered ON id % {GROUPS} = g""",
+    ),
     "h22_extract_json": (extract_json, f"WITH {_RESPONSES},{_EXTRACTED} SELECT cluster_id, json FROM extracted"),
     "h23_parse_responses": (
         parse_responses,
@@ -393,5 +427,13 @@ QUERIES = {
     ),
     "a11_markdown_report": (markdown_report, None),
     "a10_json_report": (json_report, None),
-    "p1_full_analysis": (full_analysis, None),
+    "p1_full_analysis": (
+        full_analysis,
+        f"""WITH {LOGS}, points AS (SELECT log_idx AS id FROM logs),{_PLANTED},
+        members AS (SELECT l.* REPLACE (description || ' case ' || log_idx AS description), cluster_id
+          FROM logs l JOIN numbered ON log_idx % {GROUPS} = g WHERE cluster_id >= 0),{SCORED},{PROFILE}
+        SELECT p.cluster_id, cluster_size, dominant_event_type, max_severity, priority, least(cluster_size, {REPRESENTATIVES})::INT AS n_samples,
+          least(c.n, {DOMINANT_CLASSES})::INT AS n_classes, 'skipped_by_user' AS fallback_reason
+        FROM profile p JOIN (SELECT cluster_id, count(DISTINCT label) AS n FROM members JOIN scored USING (log_idx) GROUP BY cluster_id) c USING (cluster_id)""",
+    ),
 }
