@@ -304,9 +304,16 @@ _STEPS = """concat_ws('|', 'Pull all ' || dominant_event_type || ' logs from ' |
   CASE WHEN unique_src_ips > 0 THEN 'Trace the source addresses of the cluster in neighbouring log feeds' END,
   CASE WHEN unique_users_targeted > 0 THEN 'Check recent sign-ins and rights of the accounts in the cluster' END)"""
 _RESPONSES = f"responses AS (SELECT event_id AS cluster_id, {response_sql('event_id')} AS response FROM events)"
-_EXTRACTED = """extracted AS (SELECT *, coalesce(
-  nullif(regexp_extract(regexp_extract(response, '(?s)```(?:json)?\\s*\\n?(.*?)\\n?\\s*```', 1), '(?s)\\{.*\\}'), ''),
-  nullif(regexp_extract(response, '(?s)\\{.*\\}'), ''), trim(response, ' ' || chr(9) || chr(10) || chr(13))) AS json FROM responses)"""
+
+
+def _outer_sql(c: str) -> str:
+    """From the first opening to the last closing brace, by string positions."""
+    last = f"length({c}) + 1 - strpos(reverse({c}), '}}')"
+    return f"CASE WHEN strpos({c}, '{{') > 0 AND strpos({c}, '}}') > 0 AND {last} > strpos({c}, '{{') THEN substr({c}, strpos({c}, '{{'), {last} - strpos({c}, '{{') + 1) END"
+
+
+_EXTRACTED = f"""fences AS (SELECT *, CASE WHEN len(string_split(response, '```')) > 2 THEN string_split(response, '```')[2] END AS fenced FROM responses),
+extracted AS (SELECT *, coalesce({_outer_sql('fenced')}, {_outer_sql('response')}, trim(response, ' ' || chr(9) || chr(10) || chr(13))) AS json FROM fences)"""
 _PRIORITY_RANK = (
     "CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 )

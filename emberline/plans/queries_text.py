@@ -93,16 +93,17 @@ boosted AS (SELECT * FROM (
 """
 
 PLAYBOOK_BLOCKS = """
-playbook_blocks AS (SELECT b.qid AS cluster_id, string_agg('### ' || c.source_file
-    || ' / ' || c.section || ' (score ' || printf('%.2f', round_even(b.score, 2)) || ')' || chr(10)
-    || CASE WHEN length(c.content) > 500 THEN rtrim(substr(c.content, 1, 500), ' ' || chr(10)) || '…' ELSE c.content END
-    || chr(10) || chr(10) || '---', chr(10) ORDER BY b.chunk_rank) AS block
+playbook_blocks AS (SELECT b.qid AS cluster_id, string_agg('(' || b.chunk_rank || ') match ' || printf('%.2f', round_even(b.score, 2))
+    || ', file ' || c.source_file || ', part ''' || c.section || '''' || chr(10) || '  | ' || replace(
+      CASE WHEN length(c.content) > 500 THEN rtrim(substr(c.content, 1, 500), ' ' || chr(10)) || '…' ELSE c.content END,
+      chr(10), chr(10) || '  | '), chr(10) || chr(10) ORDER BY b.chunk_rank) AS block
   FROM boosted b JOIN chunks c ON c.chunk_id = b.id GROUP BY b.qid)
 """
 TEXT_BLOCKS = f"""
 class_lines AS (SELECT cluster_id, string_agg(class_name || ' x' || "count" || ' (confidence ' ||
     printf('%.2f', round_even(avg_confidence, 2)) || ')', chr(10) ORDER BY rank) AS classes FROM dominant GROUP BY cluster_id),
-severity_lines AS (SELECT cluster_id, string_agg('- **' || severity || '**: ' || n, chr(10) ORDER BY {rank_of('severity')} DESC) AS severities
+severity_lines AS (SELECT cluster_id, string_agg(n || ' ' || severity, ', ' ORDER BY {rank_of('severity')} DESC)
+    || ' (rows with a severity: ' || sum(n)::BIGINT || ')' AS severities
   FROM (SELECT cluster_id, severity, count(*) AS n FROM members WHERE severity IS NOT NULL GROUP BY ALL) GROUP BY cluster_id),
 sample_lines AS (SELECT r.cluster_id, string_agg('- ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || ' ' || concat_ws(' ', severity, event_type)
     || ' [' || concat_ws(', ', coalesce(src_ip, '?') || ' -> ' || coalesce(dst_ip, '?'), 'by ' || "user", 'action ' || action) || '] '
