@@ -87,8 +87,3 @@ def top_labels(scores: Column, k: int, labels: Sequence[str] | None = None) -> C
         F.slice(ranked, 1, k),
         lambda r: F.struct(label_of(r["id"], labels).alias("label"), (-r["neg"]).alias("score")),
     )
-
-
-def mean_columns(c: Column, dims: int) -> list[Column]:
-    """One ``avg`` per dimension: a combinable aggregate that never explodes the vectors."""
-    return [F.avg(F.get(c, F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(dims)]

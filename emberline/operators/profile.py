@@ -6,6 +6,8 @@ of (cluster, event type, severity), so a cluster that holds a third of all rows
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from emberline.functions import vectors as vx
 from emberline.functions.fields import outside_unit
 from emberline.functions.text import max_severity, priority_of_severity
 from emberline.schema import DOMINANT_CLASSES, REPRESENTATIVES
+from emberline.session import cut_lineage
 
 NOISE = -1
 
@@ -117,10 +120,10 @@ def class_lists(ranked: DataFrame) -> DataFrame:
     )
 
 
-def centroids(member_vectors: DataFrame, dims: int, by: str = "cluster_id", vec: str = "vec") -> DataFrame:
-    """Element-wise mean per cluster: one combinable average per dimension, no exploded vectors."""
-    means = member_vectors.groupBy(by).agg(*vx.mean_columns(F.col(vec), dims))
-    return means.select(by, F.array(*[F.col(f"_m{i}") for i in range(dims)]).alias("centroid"))
+def centroids(member_vectors: DataFrame, by: str = "cluster_id", vec: str = "vec") -> DataFrame:
+    """Element-wise mean per cluster: one vector-valued aggregate that is combined map-side, whatever the width."""
+    rows = member_vectors.filter(F.col(vec).isNotNull()).select(by, array_to_vector(F.col(vec)).alias("_v"))
+    return rows.groupBy(by).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
 
 
 def representative_rows(
@@ -154,8 +157,12 @@ def representative_lists(ranked: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def incident_profiles(members: DataFrame) -> DataFrame:
-    """One row per cluster: size, times, dominant type, severity map, distinct actors, derived priority."""
-    cube = enum_cube(members)
+    """One row per cluster: size, times, dominant type, severity map, distinct actors, derived priority.
+
+    Members are read once: what the profile needs of them is stored, and so is the cube of at most 56 rows a cluster.
+    """
+    members = cut_lineage(members.select("cluster_id", "log_idx", "timestamp", "event_type", "severity", "src_ip", "user"), "members")
+    cube = cut_lineage(enum_cube(members), "cube")
     profile = (
         time_ranges(cube)
         .join(dominant_event_type(cube), "cluster_id")

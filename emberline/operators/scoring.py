@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import vectors as vx
 from emberline.functions.text import cache_key
-from emberline.schema import CLASS_TOP_K
+from emberline.schema import BATCH_TEXTS, CLASS_TOP_K
 from emberline.session import cut_lineage
 
 
@@ -32,6 +32,8 @@ class Scorer(Protocol):
 
 
 ScorerFactory = Callable[[], Scorer]
+EmbedTexts = Callable[[DataFrame], DataFrame]
+BATCH_CHARS = 262_144  # padded characters of one call
 
 
 def hash_embedding(text: Column, dims: int = 384, normalise: bool = True) -> Column:
@@ -137,31 +139,73 @@ def cache_stats(rows: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def model_embed(texts: DataFrame, factory: ScorerFactory, pooling: str = "mean", normalise: bool = True) -> DataFrame:
-    """(cache_key, vec) of (cache_key, text) rows from a pluggable scorer, one call per Arrow batch."""
+def _calls(texts: list[str], most: int, chars: int) -> Iterator[list[int]]:
+    """Places of the texts of each call, shortest texts first: at most ``most``, and ``chars`` as a model pads them.
+
+    A text longer than that alone is a call by itself.
+    """
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    call: list[int] = []
+    for i in order:
+        if call and (len(call) == most or (len(call) + 1) * len(texts[i]) > chars):
+            yield call
+            call = []
+        call.append(i)
+    if call:
+        yield call
+
+
+def _scored(texts: list[str], score: Callable[[list[str]], list], what: str, most: int, chars: int, tries: int) -> list:
+    """Scores in the order of ``texts``; a call that fails is repeated by itself, up to ``tries`` times in all."""
+    out: list = [None] * len(texts)
+    for call in _calls(texts, most, chars):
+        for left in range(tries - 1, -1, -1):
+            try:
+                found = score([texts[i] for i in call])
+                break
+            except Exception:
+                if not left:
+                    raise
+        if len(found) != len(call):
+            raise ValueError(f"scorer returned {len(found)} {what} for {len(call)} texts")
+        for i, value in zip(call, found):
+            out[i] = value
+    return out
+
+
+def _made(factory: ScorerFactory) -> Scorer:
+    scorer = factory()
+    if not scorer.ready:
+        raise RuntimeError(f"scorer {scorer.model_id} is not ready")
+    return scorer
+
+
+def model_embed(
+    texts: DataFrame, factory: ScorerFactory, pooling: str = "mean", normalise: bool = True, *,
+    most: int = BATCH_TEXTS, chars: int = BATCH_CHARS, tries: int = 3,
+) -> DataFrame:
+    """(cache_key, vec) of (cache_key, text) rows from a pluggable scorer, in calls of bounded size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = factory()
+        scorer = _made(factory)
         for pdf in batches:
-            vecs = scorer.embed(pdf["text"].tolist(), pooling, normalise) if len(pdf) else []
-            if len(vecs) != len(pdf):
-                raise ValueError(f"scorer returned {len(vecs)} vectors for {len(pdf)} texts")
+            vecs = _scored(pdf["text"].tolist(), lambda some: scorer.embed(some, pooling, normalise), "vectors", most, chars, tries)
             yield pd.DataFrame({"cache_key": pdf["cache_key"], "vec": [list(map(float, v)) for v in vecs]})
 
     return texts.mapInPandas(run, "cache_key string, vec array<float>")
 
 
-def model_classify(texts: DataFrame, factory: ScorerFactory, top_k: int = CLASS_TOP_K) -> DataFrame:
-    """(cache_key, label, score, top_k); a scorer without a class head yields no rows."""
+def model_classify(
+    texts: DataFrame, factory: ScorerFactory, top_k: int = CLASS_TOP_K, *, most: int = BATCH_TEXTS, chars: int = BATCH_CHARS, tries: int = 3
+) -> DataFrame:
+    """(cache_key, label, score, top_k), in calls of bounded size; a scorer without a class head yields no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = factory()
+        scorer = _made(factory)
         for pdf in batches:
             if not scorer.supports_classification or not len(pdf):
                 continue
-            ranked = scorer.classify(pdf["text"].tolist(), top_k)
-            if len(ranked) != len(pdf):
-                raise ValueError(f"scorer returned {len(ranked)} predictions for {len(pdf)} texts")
+            ranked = _scored(pdf["text"].tolist(), lambda some: scorer.classify(some, top_k), "predictions", most, chars, tries)
             yield pd.DataFrame(
                 {
                     "cache_key": pdf["cache_key"],
@@ -176,7 +220,21 @@ def model_classify(texts: DataFrame, factory: ScorerFactory, top_k: int = CLASS_
     )
 
 
-EmbedTexts = Callable[[DataFrame], DataFrame]
+def model_embedder(factory: ScorerFactory, pooling: str = "mean", normalise: bool = True, **how) -> EmbedTexts:
+    """A pluggable scorer as the ``embed`` step of the analysis."""
+    return lambda texts: model_embed(texts, factory, pooling, normalise, **how)
+
+
+def model_classifier(factory: ScorerFactory, text: str = "description", top_k: int = CLASS_TOP_K, **how) -> Callable[[DataFrame], DataFrame]:
+    """A pluggable scorer as the ``classify`` step of the analysis: every different text is scored once."""
+    return lambda rows: classify_rows(rows, text, lambda texts: model_classify(texts, factory, top_k, **how))
+
+
+def classify_rows(rows: DataFrame, text: str, classify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``classify`` gives for their text by cache_key; null where it gives none."""
+    keyed = rows.withColumn("cache_key", cache_key(F.col(text)))
+    scored = cut_lineage(classify(score_distinct(keyed, text, F.col("cache_key"))), "classes")
+    return keyed.join(scored, "cache_key", "left").drop("cache_key")
 
 
 def native_embed(embedding: Callable[[Column], Column]) -> EmbedTexts:

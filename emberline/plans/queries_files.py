@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from emberline.operators import validate as val
 from emberline.plans import views as v
 from emberline.plans.analyse import refresh_index
 from emberline.plans.queries_text import PLAYBOOKS
-from emberline.plans.sqlviews import CHECKED, RAW
+from emberline.plans.sqlviews import CHECKED, CLASS_NAMES, MEMBERS, RAW, SCORED
 from emberline.session import scratch_root
 from emberline.sources import logfiles as lf
 from emberline.sources import tables
@@ -133,6 +134,31 @@ def cache_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.round(F.get("vec", F.lit(0)) * 255).cast("int").alias("first"))
 
 
+class DigestScorer:
+    """A model in a Python worker, whose answers SQL can give, too: from the digest of a text."""
+
+    model_id, ready, supports_classification, class_labels = "digest", True, True, CLASS_NAMES
+
+    def embed(self, texts: list[str], pooling: str, normalise: bool) -> list[list[float]]:
+        return [list(hashlib.sha256(t.encode()).digest()[:8]) for t in texts]
+
+    def classify(self, texts: list[str], top_k: int) -> list[list[tuple[str, float]]]:
+        picked = [int(hashlib.sha256(t.encode()).hexdigest()[:4], 16) % len(CLASS_NAMES) for t in texts]
+        return [[(CLASS_NAMES[k], 0.5)] for k in picked]
+
+
+def embed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text through a model in Python workers, each different text once."""
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    rows, _, _ = sc.embed_rows(docs, "text", sc.model_embedder(DigestScorer, most=64))
+    return rows.select("doc_id", F.get("vec", F.lit(0)).cast("int").alias("first"), F.size("vec").alias("dims"))
+
+
+def classify_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sc.model_classifier(DigestScorer, most=64)(v.members(spark, sf).select("log_idx", "cluster_id", "description"))
+    return rows.groupBy("cluster_id", "label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
+
+
 _NO = f"row_number() OVER (PARTITION BY log_idx // {FILE_ROWS} ORDER BY log_idx) AS row_no"
 _JSON = f"""WITH {RAW} SELECT {_NO}, event_id, raw_log, src_port, CASE WHEN advanced_metadata = '{{' THEN risk END AS risk FROM raw"""
 
@@ -170,6 +196,11 @@ QUERIES = {
         any_value(changed)::BIGINT AS added FROM chunks JOIN d USING (source_file) GROUP BY source_file""",
     ),
     "a9_cache_table": (cache_table, "SELECT doc_id, ('0x' || substr(sha256(text), 1, 2))::INT AS first FROM documents"),
+    "j2_embed_rows": (embed_rows, "SELECT doc_id, ('0x' || substr(sha256(text), 1, 2))::INT AS first, 8::INT AS dims FROM documents"),
+    "j3_classify_rows": (
+        classify_rows,
+        f"WITH {MEMBERS},{SCORED} SELECT cluster_id, label, count(*) AS n, 0.5::DOUBLE AS score FROM members JOIN scored USING (log_idx) GROUP BY 1, 2",
+    ),
     "h27_reject_preview": (
         reject_preview,
         """SELECT 'description: field required; raw_log: field required; timestamp: field required; event_type: field required' AS error,

@@ -70,7 +70,7 @@ def distinct_actors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def centroid(spark: SparkSession, sf: str) -> DataFrame:
-    centers = pf.centroids(_vectors_of(spark, sf), DIMS)
+    centers = pf.centroids(_vectors_of(spark, sf))
     return centers.select("cluster_id", F.posexplode("centroid").alias("i", "x")).select(
         "cluster_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 9).alias("x")
     )
@@ -78,7 +78,7 @@ def centroid(spark: SparkSession, sf: str) -> DataFrame:
 
 def representatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors_of(spark, sf)
-    best = pf.representative_rows(rows, pf.centroids(rows, DIMS))
+    best = pf.representative_rows(rows, pf.centroids(rows))
     return best.select("cluster_id", "log_idx", "rank", F.round("similarity", 6).alias("similarity"))
 
 

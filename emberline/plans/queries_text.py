@@ -129,7 +129,7 @@ def profiles_with_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles as a stored table; the validated rows are stored first, since several branches read them."""
     members = cut_lineage(v.members(spark, sf), "members")
     rows = members.join(v.vectors(spark, sf).select("vec_id", "vec"), "vec_id")
-    best = pf.representative_lists(pf.representative_rows(rows, pf.centroids(rows, DIMS)), members)
+    best = pf.representative_lists(pf.representative_rows(rows, pf.centroids(rows)), members)
     scored = sc.hash_classify(members.select("log_idx", "cluster_id", "description"), "description", CLASS_NAMES)
     classes = pf.class_lists(pf.dominant_classes(scored))
     whole = pf.incident_profiles(members).join(best, "cluster_id").join(classes, "cluster_id", "left")

@@ -253,3 +253,51 @@ def test_cache_and_model_scorers(spark, tmp_path):
 
     with pytest.raises(Exception, match="returned 0 vectors"):
         sc.model_embed(texts, Short).collect()
+
+
+class Counting(Scorer):
+    """Answers calls of bounded size only, and fails once on each new call."""
+
+    failed: set[str] = set()
+
+    def embed(self, texts, pooling, normalise):
+        assert len(texts) <= 4 and (len(texts) == 1 or len(texts) * max(map(len, texts)) <= 60)
+        key = "|".join(texts)
+        if key not in self.failed:
+            self.failed.add(key)
+            raise OSError("busy")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def classify(self, texts, top_k):
+        assert len(texts) <= 4
+        return [[("a" if len(t) % 2 else "b", 1.0)] for t in texts]
+
+
+def test_calls_are_bounded_and_repeated(spark):
+    texts = ["x" * n for n in (1, 70, 3, 12, 12, 5, 30, 2, 9, 9, 200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "log_idx bigint, description string")
+    vectors, _, _ = sc.embed_rows(rows, "description", sc.model_embedder(Counting, most=4, chars=60))
+    assert {r["log_idx"]: r["vec"] for r in vectors.collect()} == {i: [float(len(t)), 1.0] for i, t in enumerate(texts)}
+    classed = sc.model_classifier(Counting, most=4)(rows).collect()
+    assert {(r["log_idx"], r["label"]) for r in classed} == {(i, "a" if len(t) % 2 else "b") for i, t in enumerate(texts)}
+
+    class Down(Scorer):
+        ready = False
+
+    with pytest.raises(Exception, match="not ready"):
+        sc.model_embed(rows.selectExpr("'k' AS cache_key", "description AS text"), Down).collect()
+
+
+def test_long_texts_in_the_analysis(spark):
+    logs, _ = scenario(spark)
+    grown = logs.withColumn("description", F.when(F.col("log_idx") < 4, F.concat("description", F.repeat(F.lit(" x"), F.lit(2000)))).otherwise(F.col("description")))
+    seen = []
+
+    def embed_texts(texts):
+        seen.append(texts.agg(F.max(F.length("text"))).first()[0])
+        return texts.select("cache_key", sc.hash_embedding(F.col("text"), 8).alias("vec"))
+
+    cut = analyse(grown, embed_texts, 8, skip_recommendations=True, text_limit=300)
+    assert seen[-1] <= 300 and cut.membership.count() == grown.count()
+    left = analyse(grown, embed_texts, 8, skip_recommendations=True, text_limit=300, long_texts="quarantine")
+    assert left.membership.count() == grown.count() - 4
