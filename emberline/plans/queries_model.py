@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,9 +243,10 @@ GROUPS = 9
 
 
 def planted_vector(group: Column, noise: list[Column]) -> Column:
-    """One axis for each group, and small noise on further axes: dense groups, far apart, of different vectors."""
-    axes = [F.when(group == g, 1.0).otherwise(0.0) for g in range(GROUPS)]
-    return F.array(*axes, *[0.05 * (n - 0.5) for n in noise])
+    """Groups around a circle, and small noise in four dimensions: dense groups, far apart, of different vectors."""
+    angle = 2.0 * math.pi / GROUPS * group
+    center = [F.cos(angle), F.sin(angle), F.lit(0.0), F.lit(0.0)]
+    return F.array(*[c + 0.05 * (n - 0.5) for c, n in zip(center, noise)])
 
 
 def planted_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,7 +267,7 @@ def full_analysis(spark: SparkSession, sf: str) -> DataFrame:
     case = F.regexp_extract("text", " case ([0-9]+)$", 1).cast("bigint")
     embed = lambda texts: texts.select("cache_key", planted_vector(case % GROUPS, _noise(F.sha2("text", 256))).alias("vec"))
     classify = lambda scored: sc.hash_classify(scored, "description", CLASS_NAMES)
-    done = analyse(rows, embed, GROUPS + 4, classify=classify, skip_recommendations=True, run_id="run0")
+    done = analyse(rows, embed, 4, classify=classify, skip_recommendations=True, run_id="run0")
     return done.incidents.select(
         "cluster_id", "cluster_size", "dominant_event_type", "max_severity", F.col("recommendation.priority").alias("priority"),
         F.size("representative_logs").alias("n_samples"), F.size("dominant_classes").alias("n_classes"), "fallback_reason",
