@@ -56,6 +56,13 @@ def cut_lineage(df: DataFrame, tag: str = "stage", by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to every core: few bytes can be much work, so the partitions must not be merged by their size."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
     """Add a 0-based position in the global order without a single-task window.
 
