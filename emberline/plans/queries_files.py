@@ -13,12 +13,14 @@ from emberline.operators import validate as val
 from emberline.plans import views as v
 from emberline.plans.analyse import refresh_index
 from emberline.plans.queries_text import PLAYBOOKS
-from emberline.plans.sqlviews import CHECKED, CLASS_NAMES, MEMBERS, RAW, SCORED
+from emberline.plans.sqlviews import CHECKED, CLASS_NAMES, LOGS, MEMBERS, RAW, SCORED
 from emberline.session import scratch_root
 from emberline.sources import logfiles as lf
 from emberline.sources import tables
+from emberline.streaming import ingest
 
 FILE_ROWS = 500  # events in one file
+ARRIVING_FILES = 40  # files in one batch of the stream
 ADDED = "## Added\nmore on T1059"
 
 
@@ -88,6 +90,30 @@ def load_files(spark: SparkSession, sf: str) -> DataFrame:
     return val.load_stats(lf.load_logs(spark, root)).drop("skip_rate")
 
 
+def _ingested(spark: SparkSession, sf: str) -> str:
+    """Files of all formats taken in by a stream in several batches."""
+    arrivals, root = _folder(spark, "arrivals"), _folder(spark, "ingest")
+    for write in (csv_files, json_files, jsonl_files):
+        write(spark, sf, arrivals)
+    ingest.start_ingest(spark, arrivals, root, max_files=ARRIVING_FILES, once=True).awaitTermination()
+    return root
+
+
+def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.ingest_stats(spark, _ingested(spark, sf)).drop("skip_rate")
+
+
+def ingested_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream's tables hold: valid rows by format and event type, rejects by format."""
+    root = _ingested(spark, sf)
+    kind = F.regexp_extract("source_file", "kind=([a-z]+)", 1).alias("kind")
+    good = ingest.ingested_rows(spark, root).groupBy(kind, "event_type").agg(
+        F.count("*").alias("n"), F.sum("row_no").alias("row_numbers"), F.sum(F.length("event_id")).alias("id_chars")
+    )
+    bad = ingest.ingest_rejects(spark, root).groupBy(kind).agg(F.count("*").alias("n"), F.sum("row_no").alias("row_numbers"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def reject_preview(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that lack all but an id, with what is kept of them."""
     folder = _folder(spark, "rejects")
@@ -180,6 +206,18 @@ QUERIES = {
         f"""WITH {RAW},{CHECKED} SELECT 3 * count(*) AS total_rows, 3 * count(*) FILTER (problems = 0) AS parsed,
         3 * count(*) FILTER (problems > 0) AS skipped FROM verdict""",
     ),
+    "i1_ingest_stats": (
+        ingest_stats,
+        f"""WITH {RAW},{CHECKED} SELECT 3 * count(DISTINCT log_idx // {FILE_ROWS}) AS files, 3 * count(*) AS total_rows,
+        3 * count(*) FILTER (problems = 0) AS parsed, 3 * count(*) FILTER (problems > 0) AS skipped FROM verdict""",
+    ),
+    "i1_ingested_rows": (
+        ingested_rows,
+        f"""WITH {LOGS}, numbered AS (SELECT *, {_NO} FROM verdict), kinds AS (SELECT unnest(['csv', 'json', 'jsonl']) AS kind)
+        SELECT kind, event_type, count(*) AS n, sum(row_no)::BIGINT AS row_numbers, sum(length(event_id))::BIGINT AS id_chars
+        FROM numbered, kinds WHERE problems = 0 GROUP BY kind, event_type
+        UNION ALL SELECT kind, NULL, count(*), sum(row_no)::BIGINT, NULL FROM numbered, kinds WHERE problems > 0 GROUP BY kind""",
+    ),
     "p2_index_run": (
         index_runs,
         f"""WITH {PLAYBOOKS}, n AS (
