@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text as tx
+from emberline.operators.lexical import LexicalIndex, lexical_search
 from emberline.operators.nearest import nearest_by_cosine
 from emberline.schema import RETRIEVE_BOOST, RETRIEVE_OVER_FETCH, RETRIEVE_TOP_K
 
@@ -33,11 +34,24 @@ def retrieve(
     queries: DataFrame, index: DataFrame, top_k: int = RETRIEVE_TOP_K, boost: float = RETRIEVE_BOOST,
     over: int = RETRIEVE_OVER_FETCH,
 ) -> DataFrame:
-    """Top-k chunks of each (id, vec, hints) query after the boost, with ``chunk_rank``.
+    """Top-k chunks of each (id, vec, hints) query after the boost, with ``chunk_rank``."""
+    return rerank(over_fetch(queries, index, top_k, over), queries, index, top_k, boost)
 
-    Only over-fetched candidates are re-ranked. Equal scores keep their distance order.
+
+def retrieve_by_words(
+    queries: DataFrame, index: DataFrame, lexical: LexicalIndex, top_k: int = RETRIEVE_TOP_K, boost: float = RETRIEVE_BOOST,
+    over: int = RETRIEVE_OVER_FETCH,
+) -> DataFrame:
+    """Like ``retrieve`` for (id, query, hints) rows, by words: ``lexical`` is the index of the chunks' contents by chunk_id.
+
+    Chunks that share no word with a query are not retrieved for it.
     """
-    found = over_fetch(queries, index, top_k, over)
+    found = lexical_search(queries.select("id", F.col("query").alias("text")), lexical, max(top_k * over, top_k))
+    return rerank(found.withColumn("dist", 1.0 - F.col("score")).drop("score"), queries, index, top_k, boost)
+
+
+def rerank(found: DataFrame, queries: DataFrame, index: DataFrame, top_k: int, boost: float) -> DataFrame:
+    """Top-k of the over-fetched (qid, id, dist, rank) candidates after the boost; equal scores keep their distance order."""
     known = index.select(F.col("chunk_id").alias("id"), *CHUNK_FIELDS)
     hints = queries.select(F.col("id").alias("qid"), "hints")
     overlap = tx.techniques_overlap(tx.split_techniques(F.col("mitre_techniques")), F.col("hints"))

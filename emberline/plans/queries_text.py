@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import text as tx
 from emberline.functions import vectors as vx
 from emberline.operators import chunking as ck
+from emberline.operators import lexical as lx
 from emberline.operators import profile as pf
 from emberline.operators import retrieve as rt
 from emberline.operators import scoring as sc
@@ -72,6 +73,22 @@ def slots_sql(source: str, key: str, text: str, name: str) -> str:
 """
 
 
+def lexical_sql(queries: str, key: str, text: str) -> str:
+    """Cosines of the TF-IDF rows of all chunks and of all queries that share a word."""
+    word = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}.]+')"
+    return f"""
+c_counts AS (SELECT id, term, count(*) AS n FROM (SELECT chunk_id AS id, unnest({word.format('content')}) AS term FROM chunks) GROUP BY ALL),
+q_counts AS (SELECT id, term, count(*) AS n FROM (SELECT {key} AS id, unnest({word.format(text)}) AS term FROM {queries}) GROUP BY ALL),
+total AS (SELECT count(DISTINCT id)::DOUBLE AS n_docs FROM c_counts),
+rarity AS (SELECT term, count(*) AS df, ln((1 + any_value(n_docs)) / (1 + count(*))) + 1 AS idf FROM c_counts, total GROUP BY term),
+c_unit AS (SELECT id, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY id)) AS w FROM c_counts JOIN rarity USING (term)),
+q_weights AS (SELECT id, term, n * coalesce(idf, ln(1 + n_docs) + 1) AS w FROM q_counts LEFT JOIN rarity USING (term), total),
+q_unit AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM q_weights),
+by_words AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.id AS qid, c.id AS id, round(sum(q.w * c.w), 9) AS score FROM q_unit q JOIN c_unit c USING (term) GROUP BY ALL))
+"""
+
+
 FETCHED = f"""{slots_sql('queries', 'cluster_id', 'query', 'q')},{slots_sql('chunks', 'chunk_id', 'content', 'c')},
 dots AS (SELECT q.id AS qid, c.id AS id, sum(q.n * c.n) AS dot FROM q_slots q JOIN c_slots c USING (slot) GROUP BY ALL),
 fetched AS (SELECT * FROM (
@@ -301,6 +318,30 @@ def boosted_ranking(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lexical_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, lx.LexicalIndex]:
+    index = cut_lineage(chunk_table(spark, sf), "index")
+    return index, lx.lexical_index(index.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
+
+
+def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text against all chunks."""
+    asked = v.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = lx.lexical_search(asked, lexical_chunks(spark, sf)[1], 5)
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def term_rarity(spark: SparkSession, sf: str) -> DataFrame:
+    terms = lexical_chunks(spark, sf)[1].terms
+    return terms.select("term", "df", F.round("idf", 6).alias("idf"), F.round("top", 6).alias("top"))
+
+
+def retrieval_by_words(spark: SparkSession, sf: str) -> DataFrame:
+    index, lexical = lexical_chunks(spark, sf)
+    asked = rt.incident_queries(profiles_with_samples(spark, sf)).withColumnRenamed("cluster_id", "id")
+    found = rt.retrieve_by_words(asked, index, lexical)
+    return found.select(F.col("qid").alias("cluster_id"), "chunk_rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def first_sources(spark: SparkSession, sf: str) -> DataFrame:
     lists = rt.chunk_lists(rt.retrieve(query_rows(spark, sf), embedded_chunks(spark, sf)))
     return lists.select(
@@ -514,6 +555,22 @@ QUERIES = {
         f"""WITH {INCIDENT_SQL},{PLAYBOOKS},{FETCHED} SELECT qid AS cluster_id, id AS chunk_id, rank::INT AS rank,
         round(dist, 6) AS dist FROM fetched""",
     ),
+    "j6_lexical_search": (
+        lexical_search,
+        f"""WITH {PLAYBOOKS},{lexical_sql('benchmark', 'item_id', 'text')}
+        SELECT qid AS item_id, id AS chunk_id, rank::INT AS rank, round(score, 6) AS score FROM by_words WHERE rank <= 5""",
+    ),
+    "j6_term_rarity": (
+        term_rarity,
+        f"""WITH {PLAYBOOKS},{lexical_sql('benchmark', 'item_id', 'text')}
+        SELECT term, df, round(idf, 6) AS idf, round(max(w), 6) AS top FROM c_unit JOIN rarity USING (term) GROUP BY ALL""",
+    ),
+    "j8_retrieval_by_words": (
+        retrieval_by_words,
+        f"""WITH {INCIDENT_SQL},{PLAYBOOKS},{lexical_sql('queries', 'cluster_id', 'query')},
+        fetched AS (SELECT qid, id, 1 - score AS dist, rank FROM by_words WHERE rank <= 20),{BOOSTED} SELECT qid AS cluster_id,
+        chunk_rank::INT AS chunk_rank, id AS chunk_id, round(score, 6) AS score FROM boosted""",
+    ),
     "e4_boosted_ranking": (
         boosted_ranking,
         f"""WITH {INCIDENT_SQL},{PLAYBOOKS},{FETCHED},{BOOSTED} SELECT qid AS cluster_id, chunk_rank::INT AS chunk_rank,
