@@ -1,9 +1,9 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans: a turn belongs to the span in which its first
-token lies. A window shows the system turn, limited history from the span before, and the turns of its own span;
-what it repeats is masked, so every assistant turn is a target exactly once. Control strings inside texts and roles
-are escaped, and the escaping is undone when a window is read.
+Prefix sums of turn tokens cut a conversation into turn-aligned spans that fit the tokens a window has left beside the
+system turn and its history. A window shows the system turn, limited history from before its span, and the span's
+turns; what it repeats is masked, so every assistant turn is a target exactly once. Control strings inside texts and
+roles are escaped, and the escaping is undone when a window is read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import small_batches, stored
 
-SPAN_TOKENS, HISTORY_TOKENS = 1024, 256
+WINDOW_TOKENS, HISTORY_TOKENS = 1280, 256
 TURN_BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -44,7 +44,7 @@ def turn_tokens(text: Column) -> Column:
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows from rows (conv_id, span, turns); turns are (repeated, start, role, text), the repeated ones first."""
+    """Windows from rows (conv_id, span, turns, tokens); turns are (repeated, start, role, text), the repeated ones first."""
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in small_batches(batches, 64):
         texts, repeated, masks = [], [], []
@@ -60,58 +60,77 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeated.append(sum(t["repeated"] for t in turns))
             masks.append(loss)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int32()), pa.array(masks, loss_type)],
-            names=["conv_id", "window", "formatted", "n_repeated", "loss"],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int32()), pa.array(masks, loss_type), batch.column(3)],
+            names=["conv_id", "window", "formatted", "n_repeated", "loss", "tokens"],
         )
 
 
 def chat_windows(
-    turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tokens: int = HISTORY_TOKENS, tokens=turn_tokens
+    turns: DataFrame, window_tokens: int = WINDOW_TOKENS, history_tokens: int = HISTORY_TOKENS, tokens=turn_tokens
 ) -> DataFrame:
-    """(conv_id, window, formatted, n_repeated, loss) from rows (conv_id, turn, role, text).
-
-    ``loss`` has the spans of code points of assistant texts that are targets. A span's new turns start within
-    ``span_tokens`` tokens; a turn longer than that stays whole. History is the turns that start in the
-    last ``history_tokens`` (fewer than ``span_tokens``) tokens before the span, which are no more tokens than that. Only a first turn with role 'system' is
-    retained in all windows. Null texts and roles count as empty; rows of a null conv_id are one conversation; null
-    turns come first; ties of turn are ordered by role and text; repeated rows stay. An empty table gives no windows.
+    """(conv_id, window, formatted, n_repeated, loss, tokens) from rows (conv_id, turn, role, text); windows count upwards, with gaps.
+
+    ``loss`` has the spans of code points of assistant texts that are targets. No window is over ``window_tokens``, but
+    for one whose only turn beside the system turn and the history does not fit, which stays whole. History is the turns
+    that start in the last ``history_tokens`` tokens before a span, which are no more tokens than that. Only a
+    first turn with role 'system' is retained in all windows. ``tokens`` counts words and marks unless another column
+    function is given; a turn counts one at least. Null texts and roles count as empty; rows of a null conv_id are one conversation;
+    null turns come first; ties of turn are ordered by role and text; repeated rows stay. An empty table gives no windows.
     """
-    if not 0 <= history_tokens < span_tokens:
-        raise ValueError("history must be smaller than a span")
+    if not 0 <= history_tokens < window_tokens:
+        raise ValueError("history must be smaller than a window")
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
-    rows = stored(
+    rows = (
         turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
-        .withColumn("n", tokens(F.col("text"))).withColumn("block", F.expr(f"turn div {TURN_BLOCK}")),
-        "turns",
+        .withColumn("n", F.greatest(tokens(F.col("text")), F.lit(1))).withColumn("block", F.expr(f"turn div {TURN_BLOCK}"))
     )
     # Prefix sums in two steps, so that one conversation with very many turns is not one group.
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    past = (Window.unboundedPreceding, -1)
+    inside = stored(
+        rows.withColumn("inside", F.coalesce(F.sum("n").over(order.rowsBetween(*past)), F.lit(0))).withColumn("first", F.row_number().over(order) == 1),
+        "turns",
+    )
+    leads = F.max(F.when(F.col("first") & (F.col("role") == "system"), F.col("n"))).alias("leads")
+    sums = inside.groupBy("conv_id", "block").agg(F.sum("n").alias("n"), leads)
+    blocks = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
+    sums = sums.select(
+        F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(blocks.rowsBetween(*past)), F.lit(0)).alias("before"),
+        F.coalesce(F.first("leads").over(blocks.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("system"),
+    )
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))
-    placed = stored(
-        inside.join(sums, same).select("conv_id", "role", "text", (F.col("before") + F.col("inside")).alias("start"), "n"), "placed"
+    # Places count from behind the system turn; ``room`` is what a span has.
+    placed = inside.join(sums, same).select(
+        "conv_id", "role", "text", "n", (F.col("before") + F.col("inside") - F.col("system")).alias("start"),
+        F.greatest(F.lit(window_tokens - history_tokens) - F.col("system"), F.lit(1)).alias("room"),
     )
-    span = F.expr(f"start div {span_tokens}").alias("span")
-    # Where the next span starts, if it is the next one; a span has few turns, as each has tokens.
-    border = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("conv_id", F.expr(f"start div {span_tokens}")))
-    new = placed.select("conv_id", span, F.lit(False).alias("repeated"), "start", "role", "text")
-    system = (F.col("start") == 0) & (F.col("role") == "system")
-    late = F.col("start") >= F.col("border") - history_tokens
-    history = placed.withColumn("border", border).filter(late & ~system).select("conv_id", (span + 1).alias("span"), F.lit(True).alias("repeated"), "start", "role", "text")
+    placed = placed.withColumn("cell", F.expr("greatest(start, 0) div room")).withColumn("end", F.col("start") + F.col("n"))
+    # A cell of the places' grid is as long as a span may be. A turn that passes its cell's end is a span by itself, unless it fits to
+    # the cell's turns before it or there are none. Cells and spans have few turns, as each turn has tokens.
+    cell_start = F.min(F.when(F.col("start") >= 0, F.col("start"))).over(Window.partitionBy("conv_id", "cell"))
+    placed = placed.withColumn("cell_start", cell_start).withColumn("span", F.expr(
+        "2 * cell + CASE WHEN end > (cell + 1) * room AND start > cell_start AND end - cell_start > room THEN 1 ELSE 0 END"
+    ))
+    span_end = F.max("end").over(Window.partitionBy("conv_id", "cell", "span"))
+    placed = stored(placed.select("conv_id", "span", "start", "n", "role", "text", "room", span_end.alias("span_end")), "placed")
+    shown = ["start", "n", "role", "text"]
+    new = placed.select("conv_id", "span", F.lit(False).alias("repeated"), *shown)
+    first = stored(placed.groupBy("conv_id", "span").agg(F.min("start").alias("at"), F.expr("greatest(min(start), 0) div any_value(room)").alias("cell")), "spans")
+    spans = first.select(F.col("conv_id").alias("_c"), F.col("span").alias("_s"), "at", F.col("cell").alias("_cell"))
+    # The spans that start behind a turn, but not more than the history's tokens behind its start; few turns have any.
+    late = placed.filter((F.col("start") >= F.col("span_end") - history_tokens) & (F.col("start") >= 0))
+    near = late.withColumn("cell", F.explode(F.expr(f"sequence(span_end div room, (start + {history_tokens}) div room)")))
+    follows = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("cell") == F.col("_cell")) & F.col("at").between(F.col("span_end"), F.col("start") + history_tokens)
+    history = near.join(spans, follows).select("conv_id", F.col("_s").alias("span"), F.lit(True).alias("repeated"), *shown)
     # A system turn goes to each later window of its conversation; the windows are far fewer than the turns.
-    later = placed.select("conv_id", span).distinct().filter("span > 0")
-    kept = placed.filter(system).select(F.col("conv_id").alias("_c"), F.lit(True).alias("repeated"), "start", "role", "text")
-    retained = later.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "span", "repeated", "start", "role", "text")
+    kept = placed.filter("start < 0").join(spans.filter("_s > 0"), F.col("conv_id").eqNullSafe(F.col("_c")))
+    retained = kept.select("conv_id", F.col("_s").alias("span"), F.lit(True).alias("repeated"), *shown)
     turn = F.struct((~F.col("repeated")).alias("new"), "start", "repeated", "role", "text")
-    windows = (
-        new.unionByName(history).unionByName(retained).groupBy("conv_id", "span")
-        .agg(F.sort_array(F.collect_list(turn)).alias("turns")).filter("exists(turns, t -> t.new)")
+    windows = new.unionByName(history).unionByName(retained).groupBy("conv_id", "span").agg(
+        F.sort_array(F.collect_list(turn)).alias("turns"), F.sum("n").alias("tokens")
     )
-    return windows.select("conv_id", "span", "turns").mapInArrow(
-        _format, "conv_id bigint, window bigint, formatted string, n_repeated int, loss array<struct<start:bigint,end:bigint>>"
+    return windows.select("conv_id", "span", "turns", "tokens").mapInArrow(
+        _format, "conv_id bigint, window bigint, formatted string, n_repeated int, loss array<struct<start:bigint,end:bigint>>, tokens bigint"
     )
 
 

@@ -24,18 +24,18 @@ def turns_of(seed):
     return rows
 
 
-@pytest.mark.parametrize(("span", "history"), [(1024, 256), (40, 12), (10, 0)])
-def test_windows_round_trip(spark, span, history):
-    rows = turns_of(span)
+@pytest.mark.parametrize(("budget", "history"), [(1280, 256), (52, 12), (10, 0)])
+def test_windows_round_trip(spark, budget, history):
+    rows = turns_of(budget)
     data = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, window int")
-    windows = C.chat_windows(data, span, history)
+    windows = C.chat_windows(data, budget, history)
     got = {r.conv_id: r for r in C.read_back(windows).collect()}
     convs = defaultdict(list)
     for conv, turn, role, text in rows:
         convs[conv].append((turn is not None, turn or 0, role or "", text or ""))
     assert got.keys() == convs.keys()
-    shown = defaultdict(int)
-    for w in windows.collect():
+    shown, seen = defaultdict(int), defaultdict(int)
+    for w in sorted(windows.collect(), key=lambda w: (str(w.conv_id), w.window)):
         shown[w.conv_id] += len(w.formatted)
         turns, targets = C.read_window(w.formatted, w.n_repeated, w.loss)
         assert turns and targets == [t for r, t in turns if r == "assistant"]
@@ -45,6 +45,18 @@ def test_windows_round_trip(spark, span, history):
             assert every[0] == (first[2], first[3])
         repeated = sum(len(t.split()) + 4 for r, t in every[: w.n_repeated] if (r, t) != (first[2], first[3]))
         assert repeated <= max(history, 0)
+        own, at, past = [(r, t) for _, _, r, t in sorted(convs[w.conv_id])], seen[w.conv_id], 0
+        want = []
+        for r, t in own[(first[2] == "system") : at][::-1]:
+            past += len(t.split()) + 4
+            if past > history:
+                break
+            want.insert(0, (r, t))
+        assert every[: w.n_repeated] == ([own[0]] if first[2] == "system" and at else []) + want
+        seen[w.conv_id] += len(turns)
+        assert w.tokens == sum(len(t.split()) + 4 for _, t in every)
+        alone = len(turns) - (w.n_repeated == 0 and turns[0] == (first[2], first[3]) and first[2] == "system")
+        assert w.tokens <= budget or alone <= 1
     for conv, own in convs.items():
         own = [(r, t) for _, _, r, t in sorted(own)]
         said = "".join(t for r, t in own if r == "assistant")
@@ -54,6 +66,18 @@ def test_windows_round_trip(spark, span, history):
         assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_window_budget(spark):
+    """Long turns are not put together; short ones fill windows."""
+    words = [(1, 0, "system", 96), (1, 1, "user", 896), (1, 2, "assistant", 996), (1, 3, "user", 46), (1, 4, "assistant", 2996), (1, 5, "user", 6)]
+    rows = [(c, k, r, "w " * n) for c, k, r, n in words] + [(2, k, "assistant", "w " * 96) for k in range(100)]
+    windows = C.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "window").collect()
+    one = [(w.tokens, len(C.read_window(w.formatted, w.n_repeated, w.loss)[0])) for w in windows if w.conv_id == 1]
+    assert [n for _, n in one] == [2, 1, 1, 1, 1] and one[0][0] == 1000 and [t for t, _ in one if t > 1280] == [3150]
+    two = [w for w in windows if w.conv_id == 2]
+    assert all(w.tokens <= 1280 for w in two) and 10 <= len(two) <= 20
+    assert [w.n_repeated for w in two] == [0] + [2] * (len(two) - 1)
+
+
 def test_chat_empty(spark):
     assert C.read_back(C.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
