@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from emberline.plans.queries_text import (
 )
 from emberline.plans.sqlviews import CLASS_NAMES, LOGS, MEMBERS, MEMBERSHIP, PROFILE, SCORED
 from emberline.schema import DOMINANT_CLASSES, MIN_CLUSTER_SIZE, MIN_SAMPLES, REPRESENTATIVES
-from emberline.session import cut_lineage
+from emberline.session import cut_lineage, scratch_root
 
 EPS = 1.15
 LEAF_ROWS = 64
@@ -239,6 +240,21 @@ def json_report(spark: SparkSession, sf: str) -> DataFrame:
     return rp.report_json(plain_incidents(spark, sf))
 
 
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's JSON document, written and read back: an incident or the statistics from each of its lines."""
+    path = f"{scratch_root(spark)}/emberline-report-{uuid.uuid4().hex}"
+    rp.write_run_json(rp.run_json(plain_incidents(spark, sf), _stats(spark, sf)), path)
+    lines = spark.read.text(path)
+    line = F.regexp_replace("value", r'^,|^\],"stats":', "")
+    rows = lines.withColumn("row", F.try_parse_json(F.when(F.col("value").startswith("]"), F.regexp_replace(line, r"\}$", "")).otherwise(line)))
+    field = lambda path, kind: F.try_variant_get("row", f"$.{path}", kind).alias(path.split(".")[-1])
+    return rows.select(
+        F.col("value").startswith(",").alias("comma"), F.regexp_extract("value", '"correlation_id":"([a-z0-9]+)"', 1).alias("run_id"),
+        field("cluster_id", "bigint"), field("cluster_size", "bigint"), field("recommendation.priority", "string"), field("total_logs", "bigint"),
+        field("n_clusters", "bigint"),
+    )
+
+
 GROUPS = 9
 
 
@@ -437,6 +453,16 @@ QUERIES = {
     ),
     "a11_markdown_report": (markdown_report, None),
     "a10_json_report": (json_report, None),
+    "a10_run_report": (
+        run_report,
+        f"""WITH {MEMBERS},{PROFILE},{_RESULT},{_USAGE}, ordered AS (
+          SELECT cluster_id, cluster_size, priority, row_number() OVER (ORDER BY
+            list_position(['critical', 'high', 'medium', 'low', 'informational'], priority), cluster_size DESC, cluster_id) AS place
+          FROM result)
+        SELECT place > 1 AS comma, '' AS run_id, cluster_id, cluster_size, priority, NULL AS total_logs, NULL AS n_clusters FROM ordered
+        UNION ALL SELECT false, 'run0', NULL, NULL, NULL, NULL, NULL
+        UNION ALL SELECT false, '', NULL, NULL, NULL, (SELECT count(*) FROM membership), clusters FROM usage""",
+    ),
     "p1_full_analysis": (
         full_analysis,
         f"""WITH {LOGS}, points AS (SELECT log_idx AS id FROM logs),{_PLANTED},

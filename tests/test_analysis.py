@@ -14,6 +14,7 @@ from emberline.operators import recommend as rc
 from emberline.operators import report as rp
 from emberline.operators import retrieve as rt
 from emberline.operators import scoring as sc
+from emberline.plans import queries_model
 from emberline.plans.analyse import analyse, index_playbooks, refresh_index
 from emberline.sources import tables
 
@@ -301,3 +302,18 @@ def test_long_texts_in_the_analysis(spark):
     assert seen[-1] <= 300 and cut.membership.count() == grown.count()
     left = analyse(grown, embed_texts, 8, skip_recommendations=True, text_limit=300, long_texts="quarantine")
     assert left.membership.count() == grown.count() - 4
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_run_document(spark, tmp_path, kept):
+    """The written lines are one JSON document, also without incidents."""
+    sf = "/root/testdata/sf0.001"
+    incidents = queries_model.plain_incidents(spark, sf)
+    stats = queries_model.run_stats(spark, sf)
+    path = tmp_path / "report"
+    rp.write_run_json(rp.run_json(incidents if kept else incidents.limit(0), stats), str(path))
+    said = json.loads("".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("part-*"))))
+    assert said["correlation_id"] == "run0" and said["stats"]["total_logs"] == stats.first()["total_logs"]
+    want = [json.loads(r["value"]) for r in rp.report_json(incidents).collect()] if kept else []
+    assert said["incidents"] == want and bool(want) == kept
+    assert all("class" in c for i in want for c in i["dominant_classes"])
