@@ -137,7 +137,10 @@ def _checked(df: DataFrame, text: str, prefix: str) -> DataFrame:
         else:
             parts.append(f"'{f}', transform(_{f}, x -> try_variant_get(x, '$', 'string'))")
     return read.selectExpr(
-        *df.columns, f"array_compact(array({errors})) AS {prefix}errors",
+        *df.columns,
+        # As in the row checks, naming the partition keeps a filter on the errors, also one that an explode brings, above
+        # this projection: pushed below, the whole list would be inlined and the text parsed for each mention of a key.
+        f"CASE WHEN spark_partition_id() >= 0 THEN array_compact(array({errors})) END AS {prefix}errors",
         f"cast(named_struct({', '.join(parts)}) AS {_STRUCT.replace(':', ': ')}) AS {prefix}rec",
     )
 

@@ -145,6 +145,15 @@ def test_response_parsing(spark):
     assert "not an object" in got["none"][1] and got["bare fence"][0] is None
 
 
+def test_response_errors_are_listed_without_parsing_each_text_again(spark):
+    df = spark.createDataFrame([("a", json.dumps(GOOD)), ("b", "nothing"), ("c", json.dumps({**GOOD, "x": 1})), ("d", None)], "name string, response string")
+    listed = rc.parse_responses(df).select("name", F.explode("rec_errors").alias("problem"))
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") <= 4  # the raw text and the extracted one, once each
+    got = {(r["name"], r["problem"]) for r in listed.collect()}
+    assert ("b", "not an object") in got and {p for n, p in got if n == "c"} == {"unknown key"} and not [1 for n, _ in got if n == "a"]
+
+
 class Model:
     model_id = "model-a"
 
