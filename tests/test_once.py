@@ -1,4 +1,4 @@
-"""Lists are made once, parts of an index when they are read, and batches of vectors give what single rows gave."""
+"""Chunks are made once, parts of an index when they are read, and batches of vectors give what single rows gave."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import vectors as vx
 from emberline.operators import chunking as ck
+from emberline.operators import lexical as lx
 from emberline.operators import nearest as nr
 from emberline.operators import scoring as sc
 
@@ -27,6 +28,13 @@ def test_chunks_are_made_once(spark):
     assert found == [("None", 0, "D", "# D\nz"), ("a.md", 0, "A", "# A\nx"), ("a.md", 1, "B", "## B\ny")]
 
 
+def test_parts_of_the_index_for_searches_only(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "id bigint, text string")
+    index = lx.lexical_index(docs)
+    assert index.terms.count() == 3 and not {"postings", "best"} & set(vars(index))
+    assert lx.lexical_search(docs, index, 1).count() == 2 and {"postings", "best"} <= set(vars(index))
+
+
 def test_embedding_by_batches(spark):
     texts = ["Alpha beta alpha", "", None, "?!", "T1059.001 beta"]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1)
