@@ -15,7 +15,7 @@ from emberline.operators import report as rp
 from emberline.operators import retrieve as rt
 from emberline.operators import scoring as sc
 from emberline.plans import queries_model
-from emberline.plans.analyse import analyse, index_playbooks, refresh_index
+from emberline.plans.analyse import _embedded, analyse, index_playbooks, refresh_index
 from emberline.sources import tables
 
 DOC = (
@@ -84,6 +84,24 @@ def test_index_writes_only_changed_buckets(spark, tmp_path):
     assert len(first - files()) == 1  # the bucket that neither of the two newest versions names
 
 
+def test_index_rows_make_their_own_vectors(spark, tmp_path):
+    native = sc.native_embed(lambda text: sc.hash_embedding(text, 8))
+    made = lambda rows: spark.createDataFrame(rows, "source_file string, content string")
+    plain = [(f"d{i}.md", f"# D\n## A\ntext {i}\n## B\n{i}") for i in range(6)]
+    told = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in told(_embedded(made([*plain, (None, "# N")]), native))
+    odd = [*plain, (None, "# N"), ("n.md", None), ("e.md", ""), ("twice.md", "# T\n## A\none"), ("twice.md", "# T\n## A\ntwo")]
+    later = [*plain[2:], (None, "# M"), ("n.md", None), ("e.md", "now"), ("twice.md", "# T\n## A\none"), ("twice.md", "# T\n## A\nnew"), ("d0.md", "# D\nother")]
+    for rows, then in ((plain, plain[1:5] + [("d0.md", "other")]), (odd, later)):
+        seen = []
+        for name, embed_texts in (("own", native), ("joined", lambda texts: native(texts))):
+            root = str(tmp_path / f"{name}{len(rows)}")
+            stats = [tuple(refresh_index(made(r), root, embed_texts, prune_missing=True).first()) for r in (rows, then, then)]
+            seen.append((stats, sorted(map(str, tables.latest_index(spark, root).collect()))))
+        assert seen[0] == seen[1]
+        assert len(rows) > 6 or seen[0][0] == [(6, 0, 12), (1, 4, 1), (0, 5, 0)]
+
+
 def test_json_extraction(spark):
     cases = {
         '{"a": 1}': '{"a": 1}', 'so: {"a": {"b": 2}} ok': '{"a": {"b": 2}}', '```json\n{"a": 1}\n``` {': '{"a": 1}', '```{"a": 1}```': '{"a": 1}',
