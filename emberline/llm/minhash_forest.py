@@ -2,8 +2,9 @@
 
 A signature is cut into several keys of ``DEPTH`` minima. Each key order is sorted as a whole; neighbours in it
 that share a longest common prefix are candidates. The prefix that a pair must share grows with the density of
-its region: where many rows share a prefix, a longer one is asked for. Candidates whose signatures rule out the
-wanted similarity are dropped, a spanning forest of the rest is confirmed on the full shingle sets, and so is
+its region: where many rows share a prefix, a longer one is asked for. There each row is also paired with the rows
+whose sketches are nearest among up to ``CROWD`` of them, and with hubs, the rows that most others are near to. Candidates
+whose signatures rule out the wanted similarity are dropped, a spanning forest of the rest is confirmed on the full shingle sets, and so is
 every candidate that still lies between two components afterwards.
 """
 
@@ -27,6 +28,11 @@ TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
 DENSE = 32  # rows ahead that must not share the prefix that is asked for; all rows that do share it are paired
 NEAR = 4  # rows ahead that are paired where over DENSE rows share a whole key: they lie sorted by their sketches
+SHARED = 4  # minima of a key; over DENSE rows that share them are a crowd
+CROWD = 1024  # rows of a crowd whose sketches are all compared with each other
+HELD = 1 << 18  # rows of a crowd that a task holds at once, 40 bytes each
+HUBS = 4  # rows that all others of a crowd are paired with
+LIKELY = 0.7  # estimate from which on a hub covers a row
 FLOOR = 0.54  # estimate of 0.75 less 4.5 standard deviations of HASHES two-bit comparisons
 KEY = 4 * DEPTH + 1
 MEMO_WORDS = 1 << 19
@@ -125,6 +131,102 @@ def _prefix(keys: np.ndarray, at: np.ndarray, ahead: int) -> np.ndarray:
     return np.where(one[:, 0] == two[:, 0], shared, -1)
 
 
+def _unequal(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Unequal minima of the sketches of every row of ``one`` and every row of ``two``, or of rows side by side."""
+    x = one ^ two
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int16)
+
+
+def _estimate(unequal: np.ndarray) -> np.ndarray:
+    return (1 - unequal / HASHES - 0.25) / 0.75
+
+
+def _around(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(one, two, hubs) of at most ``CROWD`` rows: each row with the ``NEAR`` nearest, and the rows that cover most others."""
+    n = len(sketch)
+    unequal = np.concatenate([_unequal(sketch[at : at + 64, None], sketch[None]) for at in range(0, n, 64)])
+    np.fill_diagonal(unequal, HASHES)
+    near = np.argpartition(unequal, min(NEAR, n) - 1, axis=1)[:, :NEAR]
+    covers = (_estimate(unequal) >= LIKELY).astype(np.float32)
+    open_, hubs = np.ones(n, np.float32), []
+    while len(hubs) < HUBS:
+        covered = covers @ open_
+        best = int(covered.argmax())
+        if not covered[best]:
+            break
+        hubs.append(best)
+        open_[covers[best] > 0] = 0
+        open_[best] = 0
+    return np.repeat(np.arange(n), near.shape[1]), near.ravel(), hubs
+
+
+def _crowd(sketch: np.ndarray, top: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows to be paired, of a crowd: each with its nearest, and with the hubs of its part and of the whole.
+
+    The hubs of the parts are a crowd themselves, until one part holds them; ``top`` gets the last ones. So pairs grow in
+    proportion to the rows, and a row that many others are near to is paired with all of them.
+    """
+    every = places = np.arange(len(sketch))
+    while len(places):
+        parts, found = np.array_split(places, -(-len(places) // CROWD)), []
+        for part in parts:
+            one, two, own = _around(sketch[part])
+            yield part[one], part[two]
+            found.append(part[own])
+            rows = every if len(parts) == 1 else part
+            for hub in found[-1]:
+                yield rows, np.full(len(rows), hub)
+        places = np.concatenate(found)
+        if len(parts) == 1:
+            top.append(places)
+            return
+
+
+def _likely(rows: np.ndarray, sketch: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    """The pairs of places whose sketches do not rule out the wanted similarity."""
+    estimate = _estimate(_unequal(sketch[one], sketch[two]))
+    likely = (estimate >= FLOOR) & (rows[one] != rows[two])
+    one, two = rows[one[likely]], rows[two[likely]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(np.round(1 - estimate[likely], 6))], schema=_PAIR
+    )
+
+
+class _Crowds:
+    """The crowds of a sorted run of rows, which come batch by batch; only the last one is held for the next batch."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.head = None
+
+    def take(self, rows: np.ndarray, keys: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        heads = keys[:, : 1 + 4 * SHARED]
+        new = np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1
+        starts, ends = np.append(0, new), np.append(new, len(rows))
+        if self.head is None or (heads[0] != self.head).any():
+            yield from self.end()
+        self.head = heads[-1].copy()
+        large = (ends - starts > DENSE) | (starts == 0) | (ends == len(rows))
+        for at, end in zip(starts[large], ends[large]):
+            if at:
+                yield from self.end()
+            self.held.append((rows[at:end], sketch[at:end]))
+            if sum(len(r) for r, _ in self.held) >= HELD:
+                yield from self.end(going_on=True)
+
+    def end(self, going_on: bool = False) -> Iterator[pa.RecordBatch]:
+        """Pair what is held; of a crowd that goes on, its hubs stay."""
+        if not self.held:
+            return
+        rows, sketch = (np.concatenate(x) for x in zip(*self.held))
+        self.held, top = [], []
+        if len(rows) > DENSE:
+            for one, two in _crowd(sketch, top):
+                yield _likely(rows, sketch, one, two)
+        if going_on and top:
+            self.held.append((rows[top[0]], sketch[top[0]]))
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of a run of one sorted order; the last rows of a batch are kept for the next one."""
 
@@ -143,22 +245,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             close = close[_prefix(keys, close, ahead) >= asked[close]]
             if not len(close):
                 break
-            x = sketch[close] ^ sketch[close + ahead]
-            unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
-            estimate = (1 - unequal / HASHES - 0.25) / 0.75
-            likely, estimate = close[estimate >= FLOOR], estimate[estimate >= FLOOR]
-            one, two = rows[likely], rows[likely + ahead]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(np.round(1 - estimate, 6))], schema=_PAIR
-            )
-
-    held = None
+            yield _likely(rows, sketch, close, close + ahead)
+
+    held, crowds = None, _Crowds()
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch.column(0).to_numpy()
         keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEY)
         sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, HASHES // 32)
+        yield from crowds.take(rows, keys, sketch)
         if held:
             rows, keys, sketch = (np.concatenate(x) for x in zip(held, (rows, keys, sketch)))
         ready = max(0, len(rows) - DENSE)
@@ -166,6 +262,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows[ready:], keys[ready:], sketch[ready:]
     if held:
         yield from pairs(*held, len(held[0]))
+    yield from crowds.end()
 
 
 _LINK_DDL = "a bigint, b bigint, linked boolean"

@@ -4,8 +4,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from emberline.llm import minhash_forest
 from emberline.llm.block_names import drop_exact_duplicates, exact_duplicates, name_texts
 from emberline.llm.minhash_forest import Shingles, keep_one_of_each, near_duplicates
 
@@ -127,3 +129,48 @@ def test_keep_one_of_each(spark):
     got = keep_one_of_each(docs)
     assert got.columns == docs.columns
     assert {r.doc_id for r in got.collect()} == {d for d, _, _, kept in components(rows) if kept}
+
+
+def test_copies_of_one_text_that_are_no_copies_of_each_other(spark):
+    """600 copies near to their origin and to little else: more than any window of rows that share a prefix holds."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    origin = rng.choices(vocabulary, k=160)
+    rows = [(0, " ".join(origin))]
+    for k in range(1, 601):
+        copy = list(origin)
+        for at in rng.sample(range(160 // 6), 4):
+            copy[6 * at + rng.randrange(2)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(copy)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(components(rows))
+
+
+def test_crowds_over_batches(monkeypatch):
+    """A crowd is the same however the rows come, and its hubs outlast what a task holds of it."""
+    monkeypatch.setattr(minhash_forest, "CROWD", 64)
+    rng = np.random.default_rng(2)
+    n = 700
+    keys = np.zeros((n, minhash_forest.KEY), np.uint8)
+    keys[:100, 1] = np.arange(100)
+    center = rng.integers(0, 1 << 62, 4, dtype=np.uint64)
+    sketch = np.tile(center, (n, 1))
+    sketch[101:] ^= np.bitwise_and.reduce(rng.integers(0, 1 << 62, (4, n - 101, 4), dtype=np.uint64))
+
+    def found(cuts):
+        crowds, out = minhash_forest._Crowds(), set()
+        for at, end in zip([0, *cuts], [*cuts, n]):
+            for batch in crowds.take(np.arange(at, end), keys[at:end], sketch[at:end]):
+                out |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for batch in crowds.end():
+            out |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        return out
+
+    whole = found([])
+    assert whole == found([1, 60, 100, 333, 650]) == found([100])
+    near = {b for a, b in whole if a == 100}
+    likely = minhash_forest._estimate(minhash_forest._unequal(sketch[100], sketch[101:])) >= minhash_forest.FLOOR
+    assert near == set((np.flatnonzero(likely) + 101).tolist()) and len(near) > 500
+    assert all(a >= 100 for a, _ in whole)
+    monkeypatch.setattr(minhash_forest, "HELD", 256)
+    assert {b for a, b in found([150, 300, 450, 600]) if a == 100} == near
